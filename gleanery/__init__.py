@@ -1,0 +1 @@
+"""Spark-native retrieval analytics over ordinary DataFrames."""
