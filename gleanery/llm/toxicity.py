@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_or_empty
 
 #: Labelled rows of each class that training reads, at most: the bounded sample.
-MAX_LABELLED = 12_000
-#: A candidate feature occurs in so many toxic sample documents at least.
-MIN_SUPPORT = 3
+MAX_LABELLED = 5_000
+#: A candidate feature occurs in so many toxic sample documents at least, and in so large a share of them.
+MIN_SUPPORT, MIN_SHARE = 3, 0.002
 #: Candidates counted among clean documents, and features that the classifier gets.
-MAX_CANDIDATES, MAX_FEATURES = 100_000, 4_000
+MAX_CANDIDATES, MAX_FEATURES = 40_000, 2_000
+#: A feature of so many toxic sample documents, hardly ever seen in clean ones, convicts a document alone.
+SURE_SUPPORT, SURE_PRECISION = 20, 0.98
 #: Letters of word beginnings that are features beside the whole word, each also as
 #: "in at least 2" and "in at least 3 words".
 PREFIXES, LEVELS = (3, 4, 5, 6, 7), 3
@@ -44,8 +46,12 @@ LEET = {
 STRETCH, DOUBLE, PLAIN = 0.2, 3.0, 4.0
 
 STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’¿¡…-_*~`/\\|"
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·]{1,3}[^\W_]){3,}(?![^\W_])")
-DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+€(<&*#]|[0-9@$!|+€(<&*#].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_]{2}[.\-_*·]|[^\W\d_][.\-_*·][^\W\d_]")
+#: Four or more single letters with spaces between.
+SPACED = re.compile(r" ([^\W_](?: {1,3}[^\W_]){3,})(?= )")
+#: Symbols repeated at the ends of a word decorate it.
+DECORATION = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+#: A letter beside a symbol or digit that may be a letter, a letter three times, letters with separators.
+DISGUISED = re.compile(r"[^\W\d_].*[0-9@$|+€(<&*#!]|[0-9@$|+€(<&*#!].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*·][^\W\d_]")
 INNER = re.compile(r"[.\-_*·]")
 
 _CODES = 64
@@ -91,8 +97,8 @@ def language_model(counts: DataFrame) -> np.ndarray:
     The table has a fixed size: what reaches the driver doesn't grow with the corpus.
     """
     n3 = np.zeros(_CODES**3)
-    rows = counts.toPandas()
-    n3[rows["gram"].to_numpy(np.int64)] = rows["n"]
+    rows = counts.toArrow()
+    n3[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
     n3 = n3.reshape(_CODES, _CODES, _CODES)
     n2, n1 = n3.sum(0), n3.sum((0, 1))
     p1 = (n1 + 1) / (n1.sum() + _CODES)
@@ -123,8 +129,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(word: str, model: np.ndarray) -> str:
-    """The likeliest reading of a word's lattice."""
+def viterbi(word: str, model) -> str:
+    """The likeliest reading of a word's lattice; ``model`` is nested [a][b][c]."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in lattice(word):
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -133,12 +139,12 @@ def viterbi(word: str, model: np.ndarray) -> str:
                 x, y, total = a, b, cost + channel
                 for char in reading:
                     z = CHAR_CODES.get(char, 63)
-                    total += float(model[x, y, z])
+                    total += model[x][y][z]
                     x, y = y, z
-                if (x, y) not in after or total < after[x, y][0]:
+                if (known := after.get((x, y))) is None or total < known[0]:
                     after[x, y] = (total, text + reading)
         states = after
-    return min((cost + float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+    return min((cost + model[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
 
 
 def word_features(word: str) -> list[str]:
@@ -159,25 +165,32 @@ class Restorer:
     """Words of a text with disguises undone."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.tolist()  # single cells of lists are read faster
 
     def readings(self, token: str) -> list[str]:
         """The plain word of a white-space token, then what it may disguise."""
         plain = token.strip(STRIP)
+        if plain.isalpha():
+            words = [plain]
+            bare = not any(c + c + c in plain for c in plain[2:])
+            if bare and not (token[0] in "!|(<" and token[1:2].isalpha()):
+                return words
+        core = DECORATION.sub("", token).strip(".,;:?\"'*_~`/\\-")
+        core = core.rstrip("!") if core.rstrip("!")[-1:].isalpha() else core
         words = [plain] if plain else []
-        if DISGUISED.search(token):
-            for core in {plain, token.strip(".,;:?\"'"), token.rstrip("!.,;:?\"'")}:
-                joined = INNER.sub("", core)
-                for form in {core, joined} if joined != core else {core}:
-                    if 2 < len(form) <= 40:
-                        words.append(viterbi(form, self.model))
+        if core != plain and core.strip(STRIP).isalpha() and core.strip(STRIP) != plain:
+            words.append(core.strip(STRIP))
+        if DISGUISED.search(core):
+            for form in {core, INNER.sub("", core)}:
+                if 2 < len(form) <= 40:
+                    words.append(viterbi(form, self.model))
         return words
 
     def spaced(self, text: str) -> list[str]:
         """Words whose letters stand apart."""
         out = []
-        for match in SPACED.finditer(text):
-            letters = re.sub(r"[ .\-_*·]", "", match.group())
+        for match in SPACED.finditer(" " + text.replace("\n", " ") + " "):
+            letters = match.group(1).replace(" ", "")
             for at in range(0, len(letters), 40):
                 out.append(viterbi(letters[at : at + 40], self.model))
         return out
@@ -190,10 +203,11 @@ class Restorer:
 
 
 class Lexicon(NamedTuple):
-    """Weights of features and the intercept of a logistic classifier."""
+    """Weights and intercept of a logistic classifier, and the precision of sure features."""
 
     weights: dict[str, float]
     intercept: float
+    sure: dict[str, float]
 
 
 def _counted(rows: DataFrame, model: np.ndarray, only: frozenset[str] | None) -> DataFrame:
@@ -270,16 +284,18 @@ def _strength(n: int, m: int, toxic: int, clean: int) -> float:
     return g if n * clean > m * toxic else -g
 
 
-def fit(hits: list[np.ndarray], toxic: np.ndarray, features: int) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression of binary sparse rows (Adam, full batch)."""
-    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    columns = np.concatenate(hits).astype(np.int64) if hits else np.empty(0, np.int64)
+def fit(sizes: np.ndarray, columns: np.ndarray, toxic: np.ndarray, features: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression of binary sparse rows (Adam, full batch).
+
+    Row i has the next ``sizes[i]`` of ``columns``.
+    """
+    n, rows = max(1, len(sizes)), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     w, moment, square = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, w[columns], len(hits)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / max(1, len(hits))
+        z = np.bincount(rows, w[columns], len(sizes)) + w[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / n
         gradient = np.append(np.bincount(columns, error[rows], features), error.sum())
-        gradient[:-1] += RIDGE / max(1, len(hits)) ** 0.5 * w[:-1]
+        gradient[:-1] += RIDGE / n**0.5 * w[:-1]
         moment, square = 0.9 * moment + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         w -= RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -297,10 +313,11 @@ def learn(sample: DataFrame, model: np.ndarray, shares: dict[int, int] | None =
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
-        return Lexicon({}, -8.0)
-    top = _counted(toxic, model, None).where(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).toPandas()
-    n_toxic = dict(zip(top["feature"], top["n"].astype(int)))
-    n_clean = {r["feature"]: r["n"] for r in _counted(clean, model, frozenset(n_toxic)).toLocalIterator()}
+        return Lexicon({}, -8.0, {})
+    support = max(MIN_SUPPORT, math.ceil(MIN_SHARE * n1))
+    top = _counted(toxic, model, None).where(F.col("n") >= support).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).toArrow()
+    n_toxic = dict(zip(*(c.to_pylist() for c in top.columns)))
+    n_clean = dict(zip(*(c.to_pylist() for c in _counted(clean, model, frozenset(n_toxic)).toArrow().columns)))
     strength = {f: _strength(n, n_clean.get(f, 0), n1, n0) for f, n in n_toxic.items()}
     names = sorted((f for f in strength if strength[f] > 3), key=lambda f: (-strength[f], f))[:MAX_FEATURES]
     number = {f: i for i, f in enumerate(names)}
@@ -311,11 +328,16 @@ def learn(sample: DataFrame, model: np.ndarray, shares: dict[int, int] | None =
             hits = [sorted(number[f] for f in text_features(restorer.words(t)) if f in number) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), batch.column(1)], ["hits", "toxic"])
 
-    rows = map_batches(sample.select("text", "toxic"), run, "hits array<int>, toxic int").toPandas()
-    weights, intercept = fit([np.asarray(h, np.int64) for h in rows["hits"]], rows["toxic"].to_numpy(np.float64), len(names))
-    if shares and shares.get(1) and shares.get(0):
-        intercept += math.log(shares[1] / shares[0]) - math.log(n1 / n0)
-    return Lexicon({f: float(w) for f, w in zip(names, weights) if w}, intercept)
+    rows = map_batches(sample.select("text", "toxic"), run, "hits array<int>, toxic int").toArrow().combine_chunks()
+    hits = rows.column("hits").combine_chunks()
+    weights, intercept = fit(np.diff(hits.offsets.to_numpy()), hits.flatten().to_numpy(), rows.column("toxic").to_numpy().astype(float), len(names))
+    if not (shares and shares.get(1) and shares.get(0)):
+        shares = {1: n1, 0: n0}
+    intercept += math.log(shares[1] / shares[0]) - math.log(n1 / n0)
+    clean_weight = shares[0] / n0 * n1 / shares[1]  # clean documents that one of the sample stands for
+    precision = {f: n_toxic[f] / (n_toxic[f] + clean_weight * n_clean.get(f, 0) + 1) for f in names if n_toxic[f] >= SURE_SUPPORT}
+    sure = {f: p for f, p in precision.items() if p >= SURE_PRECISION or (p >= 0.95 and not n_clean.get(f, 0))}
+    return Lexicon({f: float(w) for f, w in zip(names, weights) if w}, intercept, sure)
 
 
 class Scorer:
@@ -324,6 +346,7 @@ class Scorer:
     def __init__(self, lexicon: Lexicon, model: np.ndarray):
         self.lexicon, self.restorer = lexicon, Restorer(model)
         known = self.known = {f[:-1] for f in lexicon.weights}
+        starts = {f[:3] for f in known}
         outer = self
 
         class Cache(dict):
@@ -331,7 +354,8 @@ class Scorer:
                 if len(self) >= CACHE_WORDS:
                     self.clear()
                 words = outer.restorer.readings(token)
-                found = self[token] = tuple(w for w in words if any(f in known for f in word_features(w)))
+                # a word without a known beginning of three letters has no known feature but itself
+                found = self[token] = tuple(w for w in words if w + "$" in known or w[:3] in starts and any(f in known for f in word_features(w)))
                 return found
 
         self.cache = Cache()
@@ -341,9 +365,10 @@ class Scorer:
         words = set().union(*map(self.cache.__getitem__, set(text.split())))
         words.update(self.restorer.spaced(text))
         weights, z = self.lexicon.weights, self.lexicon.intercept
-        if words:
-            z += sum(weights[f] for f in sorted(text_features(words) & weights.keys()))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        found = sorted(text_features(words) & weights.keys()) if words else ()
+        z += sum(weights[f] for f in found)
+        sure = max((self.lexicon.sure.get(f, 0.0) for f in found), default=0.0)
+        return max(sure, 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
 def train(df: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Lexicon, np.ndarray]:
