@@ -67,25 +67,27 @@ class CollisionIndex:
         self.axes = np.random.default_rng(seed).standard_normal((dim + 1, projections))
         rest = np.sqrt(np.maximum(self.top - norms, 0))
         at = x @ self.axes[:dim] + np.outer(rest, self.axes[dim])
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(at.T, self.order, 1)
+        order = np.argsort(at, axis=0, kind="stable").T
+        self.values = np.take_along_axis(at.T, order, 1)
+        # a vector's position in each sorted array: it is in a window if that lies between the window's ends
+        self.place = np.empty(order.shape, np.uint16 if self.n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None, :], 1)
         self.unit = np.sqrt(self.top)
 
     def candidates(self, queries: np.ndarray, least: int, half_width: float, widen: float, threshold: float):
         """For each query, the rows that collide often enough."""
         scale = np.sqrt(self.top) / np.maximum(np.sqrt(np.einsum("ij,ij->i", queries, queries)), 1e-300)
         centres = (queries * scale[:, None]) @ self.axes[:-1]  # scaling a query leaves its order alone
-        m, need = len(self.order), int(np.ceil(threshold * len(self.order)))
+        m, need = len(self.values), int(np.ceil(threshold * len(self.values)))
+        kind, total = self.place.dtype, np.uint8 if m < 256 else np.uint16
         for centre in centres:
-            low = high = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
-            counts, half = np.zeros(self.n, dtype=np.int64), half_width * self.unit
+            half = half_width * self.unit
             while True:
-                new_low = np.array([np.searchsorted(v, c - half) for v, c in zip(self.values, centre)])
-                new_high = np.array([np.searchsorted(v, c + half, "right") for v, c in zip(self.values, centre)])
-                new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
-                ring = [self.order[i, new_low[i] : low[i]] for i in range(m)] + [self.order[i, high[i] : new_high[i]] for i in range(m)]
-                counts += np.bincount(np.concatenate(ring), minlength=self.n)
-                low, high = new_low, new_high
+                low = np.array([v.searchsorted(c - half) for v, c in zip(self.values, centre)])
+                high = np.array([v.searchsorted(c + half, "right") for v, c in zip(self.values, centre)])
+                # unsigned: positions before a window wrap round and are too large as well
+                inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
+                counts = inside.view(np.uint8).sum(axis=0, dtype=total)
                 found = np.flatnonzero(counts >= need)
                 if len(found) >= least or int((high - low).sum()) == m * self.n:
                     yield found
