@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_or_empty
+from .packing import _byte_characters as byte_characters
 
 #: Words and fragments that one Python worker remembers.
 CACHE_WORDS, CACHE_FRAGMENTS = 350_000, 200_000
+#: Latin letters, then marks: one word and one run of marks, in lower case.
+SIMPLE = re.compile("([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,;:!?]*)")
+BYTE_CHARACTERS = byte_characters()
 #: Symbols beyond which a fragment is merged with a heap.
 LONG_FRAGMENT = 100
 
@@ -53,6 +57,10 @@ class ForcedBoundaryBPE:
         self.inside = {pair for token in self.vocabulary for pair in itertools.pairwise(self.symbols(token))}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.lowers = False
+        if self.tokenizer.normalizer and self.tokenizer.pre_tokenizer:
+            probe = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str("ABÉßz.,;:!?"))
+            self.lowers = [w for w, _ in probe] == ["".join(BYTE_CHARACTERS[b] for b in w.encode()) for w in ("abéßz", ".,;:!?")]
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.fragments: dict[tuple[str, ...], list[int]] = {}
 
@@ -113,9 +121,13 @@ class ForcedBoundaryBPE:
 
     def _word(self, chunk: bytes) -> tuple[int, str, str]:
         """(count, ids, tokens) of a run without white space, ids and tokens joined by spaces."""
-        text = self.tokenizer.normalizer.normalize_str(chunk.decode()) if self.tokenizer.normalizer else chunk.decode()
-        ids: list[int] = []
-        for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+        text, ids = chunk.decode(), []
+        if self.lowers and (simple := SIMPLE.fullmatch(text)):  # what the library would do with it is plain
+            words = ["".join(map(BYTE_CHARACTERS.__getitem__, w.encode())) for w in (simple[1].lower(), simple[2]) if w]
+        else:
+            text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+            words = [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        for word in words:
             ids += self.encode_word(word)
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
