@@ -22,6 +22,7 @@ from gleanery.llm.exact_dedup import ExtendibleIndex, exact_groups, keep_first
 from gleanery.llm.license_scan import LicenseScanner, license_scan, seeds
 from gleanery.llm.line_dedup import line_dedup
 from gleanery.llm.packing import ByteLevelEncoder, SumOfSquares, pack
+from gleanery.llm.shingle_sets import similar_groups
 from gleanery.llm.simhash_dedup import exact_masks, forest, keep_one, majority, near_rows, shingle_hashes, simhash_groups
 from gleanery.llm.token_counts import WordPieceCounter, token_counts
 from gleanery.llm.toxicity import Scorer, reject_toxic, toxicity, train, viterbi
@@ -242,6 +243,50 @@ def test_near_stage_parameters_find_similar_documents(spark):
     assert all(got[a] == a for a, _ in groups)
 
 
+def brute_similar(docs, limit=0.8):
+    sets = {i: set(shingle_hashes(t.encode(), 5).tolist()) for i, t in docs}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_near_stage_links_similar_documents_and_no_others(spark, monkeypatch):
+    import corpus_pipeline
+    import gleanery.llm.shingle_sets as S
+
+    monkeypatch.setattr(S, "CELL_ROWS", 8)
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    docs = []
+    for n, cut in ((400, 44), (400, 43), (400, 45), (400, 58), (40, 4), (13, 1), (12, 1), (10, 1), (8, 1), (6, 1), (3, 1)):
+        for _ in range(8):  # cut words replaced at the end: similarities on both sides of 0.8, down to 0.75
+            w = word(n)
+            docs += [" ".join(w), " ".join([*w[: n - cut], *word(cut)]), " ".join([*w, *word(1)])]
+    line = word(60)
+    docs += [" ".join([*line, *word(int(n))]) for n in rng.integers(5, 25, 60)]  # hot cells
+    docs += [" ".join(word(30) * 5) for _ in range(3)] + ["", " ", docs[0].upper()]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame([*docs, (None, docs[0][1]), (docs[3][0], docs[3][1])], "doc_id long, text string")
+    want = brute_similar(docs)
+    assert 30 < sum(i != c for i, c in want.items()) < 150
+    got = rows(similar_groups(df))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, **want} and len(got) == len(docs) + 2
+    kept = {r["doc_id"] for r in rows(corpus_pipeline.near_stage(spark, df, ""))}
+    assert kept == {None, *(i for i, c in want.items() if i == c)}
+
+
 # 4 chat formatting
 def test_chat_pairs(spark):
     c = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "good"), (1, 3, "user", "more"), (1, 4, "assistant", "fine"), (2, 0, "user", "x"), (3, 0, "user", None), (None, 0, "user", "n"), (5, 0, "user", "only chosen")]
