@@ -74,8 +74,11 @@ class CollisionIndex:
         np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None, :], 1)
         self.unit = np.sqrt(self.top)
 
-    def candidates(self, queries: np.ndarray, least: int, half_width: float, widen: float, threshold: float):
-        """For each query, the rows that collide often enough."""
+    def candidates(self, queries: np.ndarray, least: int, half_width: float, widen: float, threshold: float, ids: np.ndarray | None = None, least_ids: int = 0):
+        """For each query, the rows that collide often enough.
+
+        At least ``least`` rows, and with ``ids``, where some repeat, rows of ``least_ids`` ids.
+        """
         scale = np.sqrt(self.top) / np.maximum(np.sqrt(np.einsum("ij,ij->i", queries, queries)), 1e-300)
         centres = (queries * scale[:, None]) @ self.axes[:-1]  # scaling a query leaves its order alone
         m, need = len(self.values), int(np.ceil(threshold * len(self.values)))
@@ -89,7 +92,8 @@ class CollisionIndex:
                 inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
                 counts = inside.view(np.uint8).sum(axis=0, dtype=total)
                 found = np.flatnonzero(counts >= need)
-                if len(found) >= least or int((high - low).sum()) == m * self.n:
+                enough = len(found) >= least and (ids is None or len(np.unique(ids[found])) >= least_ids)
+                if enough or int((high - low).sum()) == m * self.n:
                     yield found
                     break
                 half *= widen
@@ -138,15 +142,21 @@ def collision_knn(
         if queries_of.num_rows and block.num_rows:
             ids, query_ids = block.column("vec_id").to_numpy(), queries_of.column("query_id").to_numpy()
             index, qs = CollisionIndex(_matrix(block), projections), _matrix(queries_of)
+            repeated = len(np.unique(ids)) < len(ids)
             least = max(k + 1, int(np.ceil(verified * index.n)))
-            for query_id, query, found in zip(query_ids, qs, index.candidates(qs, least, half_width, widen, threshold)):
+            for query_id, query, found in zip(query_ids, qs, index.candidates(qs, least, half_width, widen, threshold, ids if repeated else None, k + 1)):
                 found = found[ids[found] != query_id]
                 score = np.einsum("ij,j->i", index.x[found], query)
-                if len(found) > k:  # all that tie with the k-th stay, for the tie-break below
+                near = ids[found]
+                if repeated:  # the best row of each id, so that the cut counts ids
+                    order = np.lexsort((-score, near))
+                    near, first = np.unique(near[order], return_index=True)
+                    score = score[order][first]
+                if len(near) > k:  # all that tie with the k-th stay, for the tie-break below
                     keep = score >= np.partition(score, -k)[-k]
-                    found, score = found[keep], score[keep]
-                best = np.lexsort((ids[found], -score))[: 2 * k]
-                out.append((np.full(len(best), query_id), ids[found[best]], score[best]))
+                    near, score = near[keep], score[keep]
+                best = np.lexsort((near, -score))[:k]
+                out.append((np.full(len(best), query_id), near[best], score[best]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 

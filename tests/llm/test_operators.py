@@ -141,6 +141,20 @@ def test_collision_knn_odd_vectors(spark):
     assert rows(collision_knn(df.where("false"), df, 3)) == rows(collision_knn(df, df.where("false"), 3)) == []
 
 
+def test_collision_knn_counts_ids_not_rows(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((60, 8))
+    near = [(100, (x[0] * (3 - 0.001 * i)).tolist()) for i in range(80)]  # one id on most of the best rows
+    table = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + near
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    query = spark.createDataFrame([(0, x[0].tolist())], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows(collision_knn(df, query, 20, verified=1.0)))
+    score = {i: float(v @ x[0]) for i, v in enumerate(x)} | {100: float(3 * (x[0] @ x[0]))}
+    want = sorted((i for i in score if i), key=lambda i: (-score[i], i))[:20]
+    assert [(r, i) for r, i, _ in got] == list(enumerate(want, 1)) and all(abs(s - score[i]) < 1e-9 for _, i, s in got)
+    assert len({r["vec_id"] for r in rows(collision_knn(df, query, 20))}) == 20
+
+
 # 3 SimHash
 def brute_print(text, k=4):
     w = [x for x in regex.split("[\\x20\\x09-\\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if x]
