@@ -46,13 +46,17 @@ LEET = {
 STRETCH, DOUBLE, PLAIN = 0.2, 3.0, 4.0
 
 STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’¿¡…-_*~`/\\|"
-#: Four or more single letters with spaces between.
-SPACED = re.compile(r" ([^\W_](?: {1,3}[^\W_]){3,})(?= )")
+#: Four or more single letters, digits or symbols that may be letters, with white space or separators between.
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€(<&#])(?:[\s.\-_*·]{1,3}(?:[^\W_]|[@$!|+€(<&#])){3,}(?![^\W_])")
+APART = re.compile(r"[\s.\-_*·]")
 #: Symbols repeated at the ends of a word decorate it.
 DECORATION = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 #: A letter beside a symbol or digit that may be a letter, a letter three times, letters with separators.
 DISGUISED = re.compile(r"[^\W\d_].*[0-9@$|+€(<&*#!]|[0-9@$|+€(<&*#!].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*·][^\W\d_]")
 INNER = re.compile(r"[.\-_*·]")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Signs at the ends of a word that stand for no letter.
+EDGES = "".join(c for c in STRIP if c not in LEET)
 
 _CODES = 64
 
@@ -129,12 +133,20 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(word: str, model) -> str:
-    """The likeliest reading of a word's lattice; ``model`` is nested [a][b][c]."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+def viterbi(word: str, model, breaks: bool = False) -> str:
+    """The likeliest reading of a word's lattice; ``model`` is nested [a][b][c].
+
+    With ``breaks`` a space may come before every letter: the model chooses where.
+    """
+    # a reading is a chain of (what came before, last part): words may be long
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for i, options in enumerate(lattice(word)):
+        if breaks:
+            split = [(f"{r[0]} {r[1:]}", c) for r, c in options if len(r) == 2 and r[0] == r[1]]
+            options = options + split
+            options = options + [(" " + r, c) for r, c in options] if i else options
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, chain) in states.items():
             for reading, channel in options:
                 x, y, total = a, b, cost + channel
                 for char in reading:
@@ -142,9 +154,19 @@ def viterbi(word: str, model) -> str:
                     total += model[x][y][z]
                     x, y = y, z
                 if (known := after.get((x, y))) is None or total < known[0]:
-                    after[x, y] = (total, text + reading)
+                    after[x, y] = (total, (chain, reading))
         states = after
-    return min((cost + model[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
+
+    def text(chain: tuple | None) -> str:
+        parts = []
+        while chain is not None:
+            chain, part = chain
+            parts.append(part)
+        return "".join(reversed(parts))
+
+    ends = [(cost + model[a][b][0], chain) for (a, b), (cost, chain) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(text(chain) for cost, chain in ends if cost == least)
 
 
 def word_features(word: str) -> list[str]:
@@ -166,33 +188,43 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()  # single cells of lists are read faster
+        self.known: dict[tuple[str, bool], str] = {}
+
+    def decoded(self, form: str, breaks: bool = False) -> str:
+        """The likeliest reading; short forms are remembered."""
+        if len(form) > 40:
+            return viterbi(form, self.model, breaks)
+        if (found := self.known.get((form, breaks))) is None:
+            if len(self.known) >= CACHE_WORDS // 4:
+                self.known.clear()
+            found = self.known[form, breaks] = viterbi(form, self.model, breaks)
+        return found
 
     def readings(self, token: str) -> list[str]:
         """The plain word of a white-space token, then what it may disguise."""
         plain = token.strip(STRIP)
-        if plain.isalpha():
-            words = [plain]
-            bare = not any(c + c + c in plain for c in plain[2:])
-            if bare and not (token[0] in "!|(<" and token[1:2].isalpha()):
-                return words
+        edged = token.strip(EDGES)
+        if edged == plain and plain.isalpha() and not DOUBLED.search(plain):
+            return [plain]  # its lattice has one path
         core = DECORATION.sub("", token).strip(".,;:?\"'*_~`/\\-")
         core = core.rstrip("!") if core.rstrip("!")[-1:].isalpha() else core
         words = [plain] if plain else []
         if core != plain and core.strip(STRIP).isalpha() and core.strip(STRIP) != plain:
             words.append(core.strip(STRIP))
-        if DISGUISED.search(core):
-            for form in {core, INNER.sub("", core)}:
-                if 2 < len(form) <= 40:
-                    words.append(viterbi(form, self.model))
+        for form in dict.fromkeys((core, INNER.sub("", core), edged)):
+            if len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)):
+                word = self.decoded(form)
+                # symbols left as they are at the ends are no part of the word
+                words += [w for w in dict.fromkeys((word, word.strip(STRIP)) if form != edged else (word.strip(STRIP),)) if w and w not in words]
         return words
 
     def spaced(self, text: str) -> list[str]:
-        """Words whose letters stand apart."""
+        """Words whose letters stand apart: a run as one word, and as the words that the model sees in it."""
         out = []
-        for match in SPACED.finditer(" " + text.replace("\n", " ") + " "):
-            letters = match.group(1).replace(" ", "")
-            for at in range(0, len(letters), 40):
-                out.append(viterbi(letters[at : at + 40], self.model))
+        for match in SPACED.finditer(text):
+            letters = APART.sub("", match.group())
+            out.append(self.decoded(letters))
+            out += self.decoded(letters, True).split()
         return out
 
     def words(self, text: str) -> set[str]:

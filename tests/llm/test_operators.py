@@ -593,6 +593,25 @@ def test_toxicity_sees_through_disguises(trained):
     assert viterbi("th3", trained[1]) == "the"
 
 
+def test_disguises_of_every_form_are_decoded():
+    from gleanery.llm.toxicity import BYTE_CODES, Restorer
+
+    n = np.zeros((64, 64, 64))  # a language of few words
+    c = BYTE_CODES[np.frombuffer(b" you stupid idiot said the asshole is a total moron and left " * 50, np.uint8)]
+    np.add.at(n, (c[:-2], c[1:-1], c[2:]), 1)
+    p1 = (n.sum((0, 1)) + 1) / (n.sum() + 64)
+    p2 = (n.sum(0) + 5 * p1) / (n.sum(0).sum(1, keepdims=True) + 5)
+    restorer = Restorer(-np.log((n + 5 * p2) / (n.sum(2, keepdims=True) + 5)).astype(np.float32))
+    for text, word in (
+        ("s t u p i d.", "stupid"), ("(s t u p i d)", "stupid"), ("s\tt\tu\tp\ti\td", "stupid"), ("s - t - u - p - i - d", "stupid"), ("i d i o t, x", "idiot"),
+        ("*diot", "idiot"), ("stuupid", "stupid"), ("!diot", "idiot"), ("tota|", "total"),
+        ("st" + "u" * 100 + "pid", "stupid"), ("y o u i d i o t", "idiot"), ("s t u p ! d", "stupid"), ("i d i o t t o t a l", "idiot"),
+    ):
+        assert word in restorer.words(text), (text, restorer.words(text))
+    assert restorer.words("the total moron") == {"the", "total", "moron"}
+    assert len(viterbi("5tup1d" * 5000, restorer.model)) == 30_000
+
+
 def test_toxicity_odd_documents(spark, odd, none, trained):
     got = rows(toxicity(odd, trained))
     assert len(got) == len(ODD) and not any(r["held_out"] for r in got if r["doc_id"] is None)
