@@ -1,15 +1,19 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and scratch paths in it."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scratch: dict[str, list[tuple[SparkSession, str]]] = {}
+_scope = "session"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,4 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gleanery-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``release`` of its scope deletes it."""
+    path = f"{shared_dir(spark)}/gleanery-{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(lambda: [release(s) for s in list(_scratch)])
+    _scratch.setdefault(_scope, []).append((spark, path))
+    return path
+
+
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """Scratch tables made inside belong to ``name`` and can be released with it."""
+    global _scope
+    before, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = before
+
+
+def release(scope: str) -> None:
+    """Delete a scope's scratch tables; nothing may still read them."""
+    for spark, path in _scratch.pop(scope, []):
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
