@@ -13,30 +13,37 @@ import heapq
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import Memo, map_batches, text_or_empty
 from .packing import _byte_characters as byte_characters
 
-#: Words and fragments that one Python worker remembers.
-CACHE_WORDS, CACHE_FRAGMENTS = 350_000, 200_000
-#: Latin letters, then marks: one word and one run of marks, in lower case.
-SIMPLE = re.compile("([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,;:!?]*)")
-BYTE_CHARACTERS = byte_characters()
-#: Symbols beyond which a fragment is merged with a heap.
-LONG_FRAGMENT = 100
+#: Bytes that one Python worker holds of words, and of fragments.
+WORD_BYTES, FRAGMENT_BYTES = 160 << 20, 48 << 20
+#: A line of Latin letters and then marks, which the library would cut into one
+#: word and one run of marks, in lower case; or any other line.
+LINE = re.compile("^(?:([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]*)([.,;:!?]*)|(.*))$", re.M)
+#: Ends a word where words are bytes; UTF-8 never has it.
+END = 255
+#: Bytes beyond which a fragment is merged with a heap.
+LONG_FRAGMENT = 400
+#: Runs of one text that are encoded at once.
+RUNS = 1 << 16
+
+Entry = tuple[int, str, str]  # ids, the ids and the tokens, both joined by spaces
 
 
 class ForcedBoundaryBPE:
     """A BPE tokenizer file (``tokenizers`` format) with words marked at their end.
 
-    Normalising and cutting into words are the library's own; merging is done
-    here.  The normaliser must work character by character and the word pattern
-    must never cross white space, so that texts can be cut at ASCII white space.
+    Normalising and cutting into words are the library's own.  The normaliser must
+    work character by character and the word pattern must never cross white space,
+    so that texts can be cut at ASCII white space.
     """
 
     def __init__(self, path: str):
@@ -50,19 +57,26 @@ class ForcedBoundaryBPE:
             raise ValueError("only plain BPE models are supported")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocabulary: dict[str, int] = model["vocab"]
+        self.merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.ranks: dict[tuple[str, str], int] = {}
-        for rank, merge in enumerate(model["merges"]):
-            self.ranks.setdefault(tuple(merge if isinstance(merge, list) else merge.split(" ")), rank)
-        self.token_of = {i: t for t, i in self.vocabulary.items()}
-        self.inside = {pair for token in self.vocabulary for pair in itertools.pairwise(self.symbols(token))}
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        for rank, merge in enumerate(self.merges):
+            self.ranks.setdefault(merge, rank)
+        self.characters = byte_characters()
+        self.byte_of = {c: b for b, c in self.characters.items()}
+        self.inside = self._inside()
+        self.native = self._native()
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens must match as they are written")
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted((t.content for t in added.values()), key=len, reverse=True))) + ")") if added else None
+        self.special_of = {t.content: (1, str(i), t.content) for i, t in added.items()}
         self.lowers = False
         if self.tokenizer.normalizer and self.tokenizer.pre_tokenizer:
             probe = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str("ABÉßz.,;:!?"))
-            self.lowers = [w for w, _ in probe] == ["".join(BYTE_CHARACTERS[b] for b in w.encode()) for w in ("abéßz", ".,;:!?")]
-        self.words: dict[bytes, tuple[int, str, str]] = {}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
+            self.lowers = [w for w, _ in probe] == ["".join(self.characters[b] for b in w.encode()) for w in ("abéßz", ".,;:!?")]
+        self.tokens = {i: t for t, i in self.vocabulary.items()}
+        self.fragments = Memo(self._fragment, FRAGMENT_BYTES, 330, 10)
+        self.words = Memo(lambda run: self._learn([run])[run], WORD_BYTES, 330, 10)
 
     def symbols(self, token: str) -> list[str]:
         """Characters (each one byte) of a token, the word-end mark with the last."""
@@ -71,20 +85,52 @@ class ForcedBoundaryBPE:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
+    def _inside(self) -> np.ndarray:
+        """By left byte, right byte and "the right one ends a word": whether a token has them side by side."""
+        inside = np.zeros((256, 256, 2), bool)
+        inside[:, END] = True  # the mark belongs to the byte before it
+        for token in self.vocabulary:
+            for left, right in itertools.pairwise(self.symbols(token)):
+                if len(left) == 1 and left in self.byte_of and right[0] in self.byte_of:
+                    inside[self.byte_of[left], self.byte_of[right[0]], int(len(right) > 1)] = True
+        inside[END] = False
+        return inside.reshape(-1)
+
+    def _native(self) -> tuple[Callable[[bytes], list[int]], list[int]] | None:
+        """(a byte-pair merger over this vocabulary's own ranks, its ranks' ids), or None.
+
+        The merger joins two parts whenever their bytes are a token.  That is the
+        same as following the merge list if every token has one merge and encodes
+        to itself: then no other pair of parts with its bytes is ever left apart.
+        """
+        import tiktoken
+
+        if not self.suffix:
+            return None
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, END]): 256 + b for b in range(256) if b != END}
+        try:
+            ids = [self.vocabulary[self.characters[b]] for b in range(256)]
+            ids += [self.vocabulary[self.characters[b] + self.suffix] for b in range(256)]
+            for rank, (left, right) in enumerate(self.merges, 512):
+                symbols = self.symbols(left + right)
+                token = bytes(self.byte_of[s[0]] for s in symbols)
+                ids.append(self.vocabulary[left + right])
+                if END in token:
+                    return None
+                ranks[token + (bytes([END]) if len(symbols[-1]) > 1 else b"")] = rank
+        except KeyError:
+            return None
+        if len(ranks) != len(ids) - 1 or not all(self.merge(self.symbols(a + b)) == [self.vocabulary[a + b]] for a, b in self.merges):
+            return None
+        encoding = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+        return encoding._encode_single_piece, ids
+
     def merge(self, symbols: list[str]) -> list[int]:
         """Ids of one fragment, by merges of the lowest rank first, leftmost first."""
-        ranks = self.ranks
-        if len(symbols) > LONG_FRAGMENT:
-            symbols = self._merge_long(symbols)
-        while len(symbols) > 1:
-            rank, at = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if rank == 1 << 60:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return [self.vocabulary[s] for s in symbols if s in self.vocabulary]
+        return [self.vocabulary[s] for s in self._merge_long(symbols) if s in self.vocabulary]
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
-        """The same merges with a heap, for fragments where searching anew each time is slow."""
+        """Merges kept in a heap, so that a long fragment costs no square of its length."""
         ranks, after, before = self.ranks, [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
         heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
         heapq.heapify(heap)
@@ -102,47 +148,73 @@ class ForcedBoundaryBPE:
                     heapq.heappush(heap, (rank, a, symbols[a], symbols[b]))
         return [s for s in symbols if s]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one word of the byte alphabet, cut at its forced boundaries."""
-        symbols = self.symbols(word + self.suffix)
-        ids: list[int] = []
-        begin = 0
-        for i in range(1, len(symbols) + 1):
-            if i == len(symbols) or (symbols[i - 1], symbols[i]) not in self.inside:
-                fragment = tuple(symbols[begin:i])
-                known = self.fragments.get(fragment)
-                if known is None:
-                    if len(self.fragments) >= CACHE_FRAGMENTS:
-                        self.fragments.clear()
-                    known = self.fragments[fragment] = self.merge(list(fragment))
-                ids += known
-                begin = i
-        return ids
-
-    def _word(self, chunk: bytes) -> tuple[int, str, str]:
-        """(count, ids, tokens) of a run without white space, ids and tokens joined by spaces."""
-        text, ids = chunk.decode(), []
-        if self.lowers and (simple := SIMPLE.fullmatch(text)):  # what the library would do with it is plain
-            words = ["".join(map(BYTE_CHARACTERS.__getitem__, w.encode())) for w in (simple[1].lower(), simple[2]) if w]
+    def _fragment(self, fragment: bytes) -> Entry:
+        """One fragment, with ``END`` as its last byte where a word ends."""
+        if self.native and len(fragment) <= LONG_FRAGMENT:
+            merge, of_rank = self.native
+            ids = [of_rank[r] for r in merge(fragment)]
         else:
-            text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
-            words = [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        for word in words:
-            ids += self.encode_word(word)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        known = self.words[chunk] = (len(ids), " ".join(map(str, ids)), " ".join(self.token_of[i] for i in ids))
-        return known
-
-    def encode(self, text: str) -> tuple[int, str, str]:
+            ends = fragment.endswith(b"\xff")
+            ids = self.merge(self.symbols("".join(self.characters[b] for b in (fragment[:-1] if ends else fragment)) + (self.suffix if ends else "")))
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+
+    def cut(self, blob: bytes) -> np.ndarray:
+        """Where the fragments of words, each closed by ``END``, end."""
+        a = np.frombuffer(blob, np.uint8).astype(np.int32)
+        code = a[:-1] * 512 + a[1:] * 2
+        code[:-1] += a[2:] == END
+        return np.append(np.flatnonzero(~self.inside[code]) + 1, len(a))
+
+    def _learn(self, runs: list[bytes]) -> dict[bytes, Entry]:
+        """Entries of runs without white space."""
+        words: list[bytes] = []
+        upto = []  # words of the runs so far
+        for letters, marks, other in LINE.findall(b"\n".join(runs).decode()) if self.lowers else [("", "", r.decode()) for r in runs]:
+            if not other:
+                words += [w.encode() for w in (letters.lower(), marks) if w]
+            else:
+                other = self.tokenizer.normalizer.normalize_str(other) if self.tokenizer.normalizer else other
+                words += [bytes(map(self.byte_of.__getitem__, word)) for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(other)]
+            upto.append(len(words))
+        if not words:
+            return dict.fromkeys(runs, (0, "", ""))
+        blob = b"\xff".join([*words, b""])
+        ends = self.cut(blob).tolist()
+        found = [self.fragments[blob[a:b]] for a, b in zip([0, *ends], ends)]
+        closed = np.flatnonzero(np.frombuffer(blob, np.uint8)[np.array(ends) - 1] == END) + 1  # fragments up to each word's end
+        last = np.concatenate(([0], closed))[upto].tolist()
+        return {run: found[a] if b == a + 1 else _joined(found[a:b]) for run, a, b in zip(runs, [0, *last], last)}
+
+    def _plain(self, text: str) -> Iterator[Entry]:
+        """Entries of a text without added tokens, a bounded number of runs at a time."""
+        runs, words = text.encode().split(), self.words
+        for at in range(0, len(runs), RUNS):
+            part = runs[at : at + RUNS]
+            entries = list(map(words.get, part))
+            if None in entries:
+                known = {r: words.old.get(r) for r, e in zip(part, entries) if e is None}
+                known |= self._learn([r for r, e in known.items() if e is None])
+                words.remember(known)
+                entries = [known[r] if e is None else e for r, e in zip(part, entries)]
+            yield _joined(entries)
+
+    def encode(self, text: str) -> Entry:
         """(number of ids, ids joined by spaces, decoded text)."""
-        if self.special and self.special.search(text):  # the library cuts at added tokens first
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
-        words, miss = self.words, self._word
-        found = [words.get(c) or miss(c) for c in text.encode().split()]
-        kept = [f for f in found if f[0]]
-        return sum(f[0] for f in kept), " ".join([f[1] for f in kept]), " ".join([f[2] for f in kept])
+        if not self.special or not self.special.search(text):
+            return _joined(list(self._plain(text)))
+        parts: list[Entry] = []
+        for part in self.special.split(text):  # the library cuts at added tokens first
+            parts += [self.special_of[part]] if part in self.special_of else self._plain(part)
+        return _joined(parts)
+
+
+def _joined(entries: list[Entry]) -> Entry:
+    if not entries:
+        return 0, "", ""
+    if (0, "", "") in entries:
+        entries = [e for e in entries if e[0]] or [(0, "", "")]
+    counts, ids, tokens = zip(*entries)
+    return sum(counts), " ".join(ids), " ".join(tokens)
 
 
 _workers: dict[str, ForcedBoundaryBPE] = {}
@@ -152,8 +224,9 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
     With ``full`` also ``ids`` (array of int) and ``decoded``.  Null and empty
-    texts have no tokens.  Null ids and repeated rows keep their row; other
-    columns are not read.
+    texts have no tokens.  A text of any length is encoded whole, ``RUNS`` runs at
+    a time; a fragment of any length is merged in n log n.  Null ids and repeated
+    rows keep their row, an empty table gives none, other columns are not read.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]
 

@@ -7,94 +7,67 @@ a recomputation.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._shared import new_path as shared_path
+from .._shared import release, scratch_scope, shared_dir, shared_table
 from .._ship import ship
 
-#: Rows of one Arrow batch.  Texts reach 100 kB and more, so the default of
-#: 10,000 rows a batch would not bound a Python worker's memory.
-ARROW_ROWS = 256
+__all__ = ["Memo", "as_bytes", "documents", "map_batches", "release", "row_count", "scratch_scope", "shared_dir", "shared_path", "shared_table", "text_or_empty"]
 
-_own_dirs: dict[str, str] = {}
-_scratch: dict[str, list[tuple[SparkSession, str]]] = {}
-_scope = "session"
+#: Rows that a Python function gets at once.  Spark bounds an Arrow batch by bytes
+#: (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default); Python objects
+#: made of its texts are bounded by these slices.
+ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as a URI.
+class Memo(dict):
+    """Values of a function by key (a string or bytes), of bounded size in bytes.
 
-    The session's ``spark.checkpoint.dir`` where it is set; else, in local mode
-    only, a folder of our own.
+    An entry counts ``entry`` bytes and ``each`` for every one of its key's.  Two
+    generations: when the young one holds half the limit it becomes the old one,
+    and what is asked for again moves back, so that frequent keys stay.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        _own_dirs[app] = tempfile.mkdtemp(prefix="gleanery-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return f"file://{_own_dirs[app]}"
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; ``release`` of its scope deletes it."""
-    path = f"{shared_dir(spark)}/gleanery-{label}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(lambda: [release(s) for s in list(_scratch)])
-    _scratch.setdefault(_scope, []).append((spark, path))
-    return path
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scratch_scope(name: str) -> Iterator[None]:
-    """Scratch tables made inside belong to ``name`` and can be released with it."""
-    global _scope
-    before, _scope = _scope, name
-    try:
-        yield
-    finally:
-        _scope = before
-
-
-def release(scope: str) -> None:
-    """Delete a scope's scratch tables; nothing may still read them."""
-    for spark, path in _scratch.pop(scope, []):
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of this session's Python operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+    def __init__(self, compute: Callable, limit: int, entry: int = 200, each: int = 2):
+        super().__init__()
+        self.compute, self.limit, self.entry, self.each = compute, limit, entry, each
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.remember({key: value})
+        return value
+
+    def remember(self, entries: dict) -> None:
+        size = self.entry * len(entries) + self.each * sum(map(len, entries))
+        if 2 * size > self.limit:  # too large to be worth it
+            return
+        if 2 * (self.held + size) > self.limit:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += size
+        self.update(entries)
 
 
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` over bounded batches."""
+    """``mapInArrow`` over slices of at most ``ARROW_ROWS`` rows."""
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    rows = ARROW_ROWS
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
