@@ -3,7 +3,8 @@
 A notice of which at most k characters may be edited is cut into k + 1 pieces; by
 the pigeonhole principle one piece is intact, so exact seeds locate every
 candidate.  Around each, bounded-error matching of the ``regex`` library
-verifies the edits and reports the span.
+verifies the edits and reports the span.  Words that tell licences apart ("mit",
+"2", "nc") have bounds of their own, so that edits can't turn one into another.
 """
 
 from __future__ import annotations
@@ -24,26 +25,35 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 
 class Notice(NamedTuple):
+    """A notice, its label, the characters that may be edited, and the words that tell it from other licences."""
+
     text: str
     label: str
     edits: int
+    words: tuple[str, ...] = ()
 
 
 #: Notices found with up to so many edited characters.
 NOTICES = (
-    Notice("under the mit license", "mit", 2),
+    Notice("under the mit license", "mit", 2, ("mit",)),
     Notice("permission is hereby granted free of charge to any person", "mit", 4),
-    Notice("apache license version 2", "apache-2", 2),
-    Notice("licensed under the apache license", "apache-2", 3),
-    Notice("licensed under cc by nc", "cc-by-nc", 2),
-    Notice("creative commons attribution noncommercial", "cc-by-nc", 4),
-    Notice("under the gnu general public license", "gpl", 3),
-    Notice("gnu lesser general public license", "lgpl", 3),
-    Notice("mozilla public license version 2", "mpl-2", 3),
-    Notice("redistribution and use in source and binary forms", "bsd", 4),
-    Notice("all rights reserved", "all-rights-reserved", 1),
+    Notice("apache license version 2", "apache-2", 2, ("apache", "2")),
+    Notice("licensed under the apache license", "apache", 3, ("apache",)),
+    Notice("licensed under cc by nc", "cc-by-nc", 2, ("cc", "by", "nc")),
+    Notice("creative commons attribution noncommercial", "cc-by-nc", 4, ("attribution", "noncommercial")),
+    Notice("under the gnu general public license", "gpl", 3, ("gnu", "general")),
+    Notice("gnu lesser general public license", "lgpl", 3, ("gnu", "lesser")),
+    Notice("mozilla public license version 2", "mpl-2", 3, ("mozilla", "2")),
+    Notice("redistribution and use in source and binary forms", "bsd", 4, ("redistribution",)),
+    Notice("all rights reserved", "all-rights-reserved", 1, ("rights",)),
 )
 
+
+def word_edits(word: str) -> int:
+    """Edits that leave a distinguishing word itself: none in numbers and words of one or two letters."""
+    return 0 if len(word) < 3 or word.isdigit() else 1 if len(word) < 8 else 2
+
+
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -56,7 +66,16 @@ def seeds(text: str, edits: int) -> list[tuple[int, bytes]]:
 class LicenseScanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: tuple[Notice, ...] = NOTICES):
         self.phrases = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-        self.notices = [(n, seeds(n.text, n.edits), regex.compile(b"(?b)(?:%s){e<=%d}" % (n.text.encode(), n.edits))) for n in notices]
+        self.notices = [(n, seeds(n.text, n.edits), regex.compile(b"(?e)(?:%s){e<=%d}" % (n.text.encode(), n.edits))) for n in notices]
+        known = {w for n in notices for w in n.words}
+        self.told = {w: regex.compile(b"(?:%s){e<=%d}" % (w.encode(), word_edits(w))) for w in known}
+
+    def tells(self, notice: Notice, words: bytes, start: int, end: int) -> bool:
+        """Whether the words of a span, whole ones, have the notice's distinguishing words among them."""
+        stop = words.find(b" ", end)
+        span = words[words.rfind(b" ", 0, start + 1) + 1 : stop if stop >= 0 else len(words)]
+        held = span.split()
+        return all(any(self.told[w].fullmatch(h) for h in held) or len(w) > 2 and w.encode() in span for w in notice.words)
 
     def exact(self, words: bytes) -> list[tuple[int, str]]:
         """(offset, label) of phrases in words joined, begun and ended by one space."""
@@ -86,8 +105,12 @@ class LicenseScanner:
                 else:
                     merged.append(w)
             for a, b in merged:
-                for m in pattern.finditer(words, a, min(b, len(words))):
-                    found.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
+                while m := pattern.search(words, a, min(b, len(words))):
+                    if self.tells(notice, words, m.start(), m.end()):
+                        found.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
+                        a = m.end()
+                    else:  # another licence: a notice may still begin inside
+                        a = m.start() + 1
         return found
 
     def scan(self, text: bytes) -> dict:
@@ -130,8 +153,9 @@ def license_scan(
     from exact phrases; ``labels`` adds those of fuzzy notices, whose word spans
     and edits are in ``spans``.  ``score`` is 1 for an exact phrase, else the share
     of unedited characters of the best notice, else 0.  Null and empty texts have
-    no words, no labels and a score of 0; null ids and repeated rows keep their
-    row; other columns are not read.
+    no words, no labels and a score of 0; a text of any length is searched whole;
+    null ids and repeated rows keep their row, an empty table gives none; other
+    columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
