@@ -17,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, row_count, text_or_empty
+from .common import Memo, map_batches, row_count, text_or_empty
 
 CAPACITY, END = 1_024, 2
 #: Documents of one packer.  A packer leaves some bins open, so more packers waste more.
 PACKER_DOCS = 100_000
-#: Chunks whose ids one Python worker remembers.
-CACHE_CHUNKS = 500_000
+#: Bytes of chunks and their ids that one Python worker remembers.
+CACHE_BYTES = 128 << 20
 
 # White space as the tokenizer's patterns know it.
 WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -40,7 +40,7 @@ class ByteLevelEncoder:
     ``CHUNKS``, so chunks are encoded apart and remembered.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,17 +49,11 @@ class ByteLevelEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = _same_ranks(self.tokenizer)
-        outer = self
+        self.cache = Memo(self._chunk, cache, 230, 5)
 
-        class Cache(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= cache:
-                    self.clear()
-                ids = outer.fast(chunk) if outer.fast and PLAIN.fullmatch(chunk) else outer._ids(chunk)
-                packed = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-                return packed
-
-        self.cache = Cache()
+    def _chunk(self, chunk: str) -> bytes:
+        ids = self.fast(chunk) if self.fast and PLAIN.fullmatch(chunk) else self._ids(chunk)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -134,7 +128,10 @@ _workers: dict[str, ByteLevelEncoder] = {}
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: documents' ids, cut where they are too long."""
+    """``doc_id, piece, start, length, ids_crc32``: documents' ids, cut where they are too long.
+
+    Every piece but the first has ``capacity`` ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _workers:
@@ -144,8 +141,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = memoryview(encoder.encode(text) + last)
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
+                first = (len(ids) - 1) % (4 * capacity) + 1
+                for piece, stop in enumerate(range(first, len(ids) + 1, 4 * capacity)):
+                    start = max(0, stop - 4 * capacity)
+                    part = ids[start:stop]
                     rows.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -159,12 +158,13 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END
     """Pieces with their places: ``sequence_id, offset``.
 
     Null and empty texts are the end token alone.  Rows that repeat an id, or
-    have none, are packed like any other.  Packers are chosen by a hash of the
-    id, hold ``PACKER_DOCS`` documents on average and work in the order of (id,
-    piece), so a packer that is run again gives the same places.  Full pieces
-    take a sequence at once.  Ids never leave the task that made them: only
-    piece lengths are shuffled.  An empty table gives no rows; other columns are
-    not read.
+    have none, are packed like any other.  A text of any length is encoded whole,
+    by chunks, and cut into pieces in its task.  Packers get equal shares of the
+    pieces, whatever their ids, of ``PACKER_DOCS`` documents on average; the shares
+    and the order in them come from the rows themselves, so a packer that is run
+    again gives the same places.  Full pieces take a sequence at once.  Ids never
+    leave the task that made them: only piece lengths are shuffled.  An empty table
+    gives no rows; other columns are not read.
     """
     packers = packers or max(1, round(row_count(df) / PACKER_DOCS))
 
@@ -180,5 +180,5 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END
             )
 
     cut = pieces(df, tokenizer, capacity, end, id_col, text_col)
-    spread = cut.repartition(packers, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "piece", "length", "ids_crc32")
+    spread = cut.repartition(packers).sortWithinPartitions("doc_id", "piece", "length", "ids_crc32")
     return spread.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import Memo, map_batches, text_or_empty
 
-#: Words whose counts one Python worker remembers.
-CACHE_WORDS = 600_000
+#: Bytes of words and their counts that one Python worker remembers.
+CACHE_BYTES = 128 << 20
 
 
 class WordPieceCounter:
@@ -78,20 +78,7 @@ class WordPieceCounter:
         return pieces
 
 
-class _Counts(dict):
-    """UTF-8 word -> pieces, an unknown word as -1; starts afresh when it is full."""
-
-    def __init__(self, counter: WordPieceCounter, mark: str):
-        self.counter, self.mark = counter, mark
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        n = self[word] = self.counter.count(self.mark + word.decode()) or -1
-        return n
-
-
-_workers: dict[str, _Counts] = {}
+_workers: dict[str, Memo] = {}
 
 
 def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
@@ -107,9 +94,11 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
     return [p for p in pieces if p.startswith("▁")], [p for p in pieces if "▁" not in p]
 
 
-def _counts(path: str) -> _Counts:
+def _counts(path: str) -> Memo:
+    """UTF-8 word -> pieces, an unknown word as -1."""
     if path not in _workers:
-        _workers[path] = _Counts(WordPieceCounter(*sentencepiece_vocabulary(path)), "▁")
+        counter = WordPieceCounter(*sentencepiece_vocabulary(path))
+        _workers[path] = Memo(lambda word: counter.count("▁" + word.decode()) or -1, CACHE_BYTES, 180, 1)
     return _workers[path]
 
 
@@ -118,8 +107,9 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     Words are runs of characters other than ``[\\x20\\x09-\\x0D]``; a word that the
     vocabulary cannot spell is one token and counts in ``n_unknown``.  A null or
-    empty text has 0 of each; null ids and repeated rows keep their row; other
-    columns are neither read nor returned.
+    empty text has 0 of each; null ids and repeated rows keep their row; an empty
+    table gives none.  A text of any length is read whole, in time linear in it.
+    Other columns are neither read nor returned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
