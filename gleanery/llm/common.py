@@ -7,9 +7,11 @@ a recomputation.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from .._shared import new_path as shared_path
 from .._shared import release, scratch_scope, shared_dir, shared_table
 from .._ship import ship
 
-__all__ = ["Memo", "as_bytes", "documents", "map_batches", "release", "row_count", "scratch_scope", "shared_dir", "shared_path", "shared_table", "text_or_empty"]
+__all__ = ["Memo", "as_bytes", "documents", "map_batches", "release", "row_count", "scratch_scope", "shared_dir", "shared_path", "shared_table", "text_or_empty", "rows_at", "with_row_place"]
 
 #: Rows that a Python function gets at once.  Spark bounds an Arrow batch by bytes
 #: (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default); Python objects
@@ -70,6 +72,36 @@ def map_batches(
     return df.mapInArrow(sliced, schema)
 
 
+def with_row_place(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two more columns, a string and a long, that tell all its rows apart.
+
+    They are the same whenever the rows are read again: the file and the position in
+    it where ``df`` reads parquet; anything else is written to the shared folder first.
+    """
+    names = ["__file", "__at"]
+    while set(names) & set(df.columns):
+        names = [f"{n}_" for n in names]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+        with contextlib.suppress(AnalysisException):
+            return placed(df), names
+    stored = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return placed(shared_table(stored, "rows")).toDF(*df.columns, *names), names
+
+
+def rows_at(df: DataFrame, places: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``with_row_place(df)`` at ``places`` (``row_file, row_at``), without the added columns."""
+    wanted = places.select(F.col("row_file").alias(f"{names[0]}_w"), F.col("row_at").alias(f"{names[1]}_w"))
+    met = df.join(wanted, (F.col(names[0]) == F.col(f"{names[0]}_w")) & (F.col(names[1]) == F.col(f"{names[1]}_w")), "left_semi")
+    return met.drop(*names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

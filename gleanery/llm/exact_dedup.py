@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, row_count, shared_path, shared_table, text_or_empty
+from .common import as_bytes, map_batches, row_count, rows_at, shared_path, shared_table, text_or_empty, with_row_place
 
 #: Entries of a bucket before it splits, and the deepest directory of one owner.
 BUCKET_ENTRIES, MAX_DEPTH = 32, 24
@@ -69,8 +69,8 @@ class ExtendibleIndex:
             self.directory[at] = high if at & bit else low
 
 
-def _pages(df: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """Every document's key and digest, and the place of its text in a page file."""
+def _pages(rows: DataFrame, folder: str) -> DataFrame:
+    """Every key and digest of ``doc_id, text, row_file, row_at``, and the place of the text in a page file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = fs.FileSystem.from_uri(folder)
@@ -99,14 +99,14 @@ def _pages(df: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 6
             types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
-                ["doc_id", "key", "sha", "file", "place", "stored", "size"],
+                [batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, t) for c, t in zip(columns, types))],
+                ["doc_id", "row_file", "row_at", "key", "sha", "file", "place", "stored", "size"],
             )
         if out is not None:
             out.close()
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, key long, sha string, file string, place long, stored long, size long")
+    schema = "doc_id long, row_file string, row_at long, key long, sha string, file string, place long, stored long, size long"
+    return map_batches(rows.select("doc_id", "text", "row_file", "row_at"), run, schema)
 
 
 def _owned(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -123,39 +123,63 @@ def _owned(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         return zstandard.decompress(opened[file].read_at(stored, place))
 
     index = ExtendibleIndex()
-    classes: list[list] = []  # [entry, smallest doc_id, rows]
+    classes: list[list] = []  # [entry, first row, rows]
     members: list[tuple[str, int, int]] = []
+    first_texts: dict[int, bytes] = {}  # of classes met again, RECENT_BYTES at most
+    held = 0
     for batch in batches:
-        for key, file, place, stored, size, doc_id, n in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, file, place, stored, size, missing, doc_id, row_file, row_at, n in zip(*(c.to_pylist() for c in batch.columns)):
             entry, chain, own = (file, place, stored, size), index.chain(key & (2**64 - 1)), None
             content = None
             for number in chain:
                 if classes[number][0][3] == size:
                     content = text(entry) if content is None else content
-                    if text(classes[number][0]) == content:
+                    if (known := first_texts.get(number)) is None:
+                        known = text(classes[number][0])
+                        if held + len(known) > RECENT_BYTES:
+                            first_texts, held = {}, 0
+                        first_texts[number], held = known, held + len(known)
+                    if known == content:
                         own = number
                         break
+            row = (missing, doc_id, row_file, row_at)
             if own is None:
                 own = len(classes)
-                classes.append([entry, None, 0])
+                classes.append([entry, row, 0])
                 chain.append(own)
             of = classes[own]
-            of[1] = doc_id if of[1] is None else of[1] if doc_id is None else min(of[1], doc_id)
+            of[1] = min(of[1], row, key=lambda r: (r[0], r[1] or 0, r[2], r[3]))
             of[2] += n
             members.append((file, place, own))
     for at in range(0, len(members), 10_000):
         part = members[at : at + 10_000]
+        firsts = [classes[m[2]] for m in part]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([m[0] for m in part], pa.string()),
                 pa.array([m[1] for m in part], pa.int64()),
-                pa.array([classes[m[2]][1] for m in part], pa.int64()),
-                pa.array([classes[m[2]][2] for m in part], pa.int64()),
+                *(pa.array([c[1][i] for c in firsts], t) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int64()))),
+                pa.array([c[2] for c in firsts], pa.int64()),
             ],
-            ["file", "place", "keep_id", "group_size"],
+            ["file", "place", "keep_id", "keep_file", "keep_at", "group_size"],
         )
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id, text, row_file, row_at``) without texts, with the first row and the size of their classes."""
+    spark = rows.sparkSession
+    folder = shared_path(spark, "pages")
+    placed = shared_table(_pages(rows, folder), "placed")
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-row_count(placed) // OWNER_ROWS))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_file", "row_at")).alias("first")
+    distinct = placed.groupBy("key", "file", "place", "stored", "size").agg(first, F.count("*").alias("n"))
+    # digests are uniform, so equal key ranges are equal shares
+    owner = F.floor((F.shiftright("key", 32) + 2**31) * owners / 2**32).cast("int")
+    owned = distinct.select("key", "file", "place", "stored", "size", "first.*", "n").repartition(owners, owner)
+    classes = map_batches(owned, lambda batches: _owned(batches, folder), "file string, place long, keep_id long, keep_file string, keep_at long, group_size long")
+    return placed.join(classes, ["file", "place"])
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
 
@@ -166,24 +190,28 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the same flags, and each counts in ``group_size``.  An empty table gives no
     rows; other columns, whatever their names, are not read.
 
-    Copies collapse in the map task before anything is sent, so a text that a
-    third of all rows share reaches its owner about once a task.
+    A text of any length is one page.  Copies collapse in the map task before
+    anything is sent, so a text that a third of all rows share reaches its owner
+    about once a task.
     """
-    spark = df.sparkSession
-    folder = shared_path(spark, "pages")
-    placed = shared_table(_pages(df, folder, id_col, text_col), "placed")
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-row_count(placed) // OWNER_ROWS))
-    distinct = placed.groupBy("key", "file", "place", "stored", "size").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    # digests are uniform, so equal key ranges are equal shares
-    owner = F.floor((F.shiftright("key", 32) + 2**31) * owners / 2**32).cast("int")
-    owned = distinct.select("key", "file", "place", "stored", "size", "doc_id", "n").repartition(owners, owner)
-    classes = map_batches(owned, lambda batches: _owned(batches, folder), "file string, place long, keep_id long, group_size long")
-    return placed.join(classes, ["file", "place"]).select(
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.lit("").alias("row_file"), F.lit(0).cast("long").alias("row_at"))
+    return _classes(rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
-def keep_first(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that ``groups`` keeps."""
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of ``df`` for each class of equal texts, with all its columns.
+
+    It is the one with the smallest id; null ids come last, and among rows that
+    share the id the first in the table stays.  Every text of ``df`` stays once:
+    rows are told apart by their places, so an id on several rows with different
+    texts, rows without id and exact repeats are all judged by their own text.
+    Null counts as empty, very long texts are compared whole, an empty table gives
+    no rows.
+    """
+    rows, (file, at) = with_row_place(df)
+    classes = _classes(
+        rows.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(file).alias("row_file"), F.col(at).alias("row_at"))
+    )
+    return rows_at(rows, classes.where("row_file = keep_file and row_at = keep_at"), [file, at])

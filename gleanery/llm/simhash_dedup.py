@@ -1,17 +1,16 @@
 """SimHash near-duplicate groups, with pivot distance tables.
 
-Fingerprints that agree on enough sampled bits share a cell.  Inside a cell each
-fingerprint has a row of Hamming distances to many fixed reference fingerprints
-(the pivots): by the triangle inequality a pair whose rows differ anywhere by
-more than the limit can't be near, so it is discarded by the maximum coordinate
-difference, and only survivors are verified bit by bit.  Cells alone make the
-search grow with the rows rather than with their square.
+Every distinct fingerprint gets, once, a row of Hamming distances to many fixed
+reference fingerprints (the pivots).  By the triangle inequality a pair whose rows
+differ anywhere by more than the limit can't be near, so it is discarded by the
+maximum coordinate difference, and only survivors are verified bit by bit.  Pairs
+are looked for among fingerprints that agree on enough blocks of bits (a cell),
+which makes the search grow with the rows rather than with their square.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, row_count, shared_table, text_or_empty
+from .common import as_bytes, map_batches, shared_table, text_or_empty
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
-#: Pivots of each fingerprint word.
+#: Pivots, i.e. columns of the distance table.
 PIVOTS = 32
 #: Members of a cell that one task compares; larger cells are split into pairs of chunks.
 CELL_ROWS = 2_048
 #: Blocks of a 64-bit fingerprint for exact search: with at most 4 differing bits
 #: 2 of 6 blocks are always free of differences.
 BLOCKS = 6
-#: Multipliers that derive further fingerprint words from one shingle hash.
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -58,73 +55,55 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    if not word:
-        return hashes
-    h = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(MIX[word - 1])
-    return ((h ^ (h >> np.uint64(32))) * np.uint64(MIX[word - 2])).astype("<u8")
-
-
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, w0 .. w<words-1>``: fingerprint words; a text without words has zeros."""
-    if not 1 <= words <= 1 + len(MIX):
-        raise ValueError(f"words must be 1 to {1 + len(MIX)}")
-    names = [f"w{i}" for i in range(words)]
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, w0``: fingerprints; a text without words has zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in as_bytes(batch.column(1)):
-                hashes = shingle_hashes(text, shingle)
-                rows.append([majority(_mixed(hashes, i)) if len(hashes) else 0 for i in range(words)])
-            columns = zip(*rows) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *names])
+            found = [majority(h) if len(h := shingle_hashes(text, shingle)) else 0 for text in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "w0"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_batches(rows, run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return map_batches(rows, run, "doc_id long, w0 long")
 
 
-def exact_masks(max_bits: int) -> list[tuple[int, ...]]:
-    """Masks of one word such that words within ``max_bits`` agree under at least one of them."""
+def exact_masks(max_bits: int) -> list[int]:
+    """Masks such that fingerprints within ``max_bits`` agree under at least one of them."""
     blocks = max(BLOCKS, max_bits + 1)
     cut = [round(i * 64 / blocks) for i in range(blocks + 1)]
     block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(cut)]
-    return [(sum(block[i] for i in free),) for free in itertools.combinations(range(blocks), blocks - max_bits)]
+    return [sum(block[i] for i in free) for free in itertools.combinations(range(blocks), blocks - max_bits)]
 
 
-def sampled_masks(words: int, max_bits: int, rows: int, recall: float) -> list[tuple[int, ...]]:
-    """Masks over random bits for limits that no exact scheme affords.
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    As many bits as keep cells at about eight unrelated rows; as many masks as
-    find a pair that differs in ``max_bits`` bits with probability ``recall``.
-    """
-    total = 64 * words
-    bits = min(total // 4, max(10, math.ceil(math.log2(max(rows, 2))) - 3))
-    agree = math.exp(sum(math.log((total - max_bits - i) / (total - i)) for i in range(bits)))
-    rng = np.random.default_rng(SEED)
-    masks = []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log1p(-agree))):
-        mask = [0] * words
-        for bit in rng.choice(total, bits, replace=False):
-            mask[bit // 64] |= 1 << int(bit % 64)
-        masks.append(tuple(mask))
-    return masks
 
+def pivot_table(w: np.ndarray) -> np.ndarray:
+    """Rows of distances to the pivots, one byte each."""
+    pivots = np.random.default_rng(SEED).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.stack([np.bitwise_count(w ^ p) for p in pivots], axis=1)
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
 
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """``node, pivots`` of distinct fingerprints ``node``."""
 
-def near_rows(w: np.ndarray, sizes: np.ndarray, max_bits: int, sides: np.ndarray | None = None) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in table], pa.binary())], ["node", "pivots"])
+
+    return map_batches(nodes.select("node"), run, "node long, pivots binary")
+
+
+def near_rows(w: np.ndarray, table: np.ndarray, sizes: np.ndarray, max_bits: int) -> np.ndarray:
     """Index pairs within ``max_bits``, of rows of the same cell.
 
-    ``w``: rows x words, cells one after another, of ``sizes`` rows each.
+    ``w`` and their pivot table: cells one after another, of ``sizes`` rows each.
     """
-    words = w.shape[1]
-    pivots = np.random.default_rng(SEED).integers(0, 2**63, (PIVOTS, words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    table = np.stack([np.bitwise_count(w ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+    table = table.astype(np.int16)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w)) - 1  # rows after this one in its cell
-    first, step, out = np.flatnonzero(left >= 1), 1, []
+    first, step, out = np.flatnonzero(left >= 1), 1, [np.empty((0, 2), np.int64)]
     while len(first):
         second = first + step
         near = np.arange(len(first))
@@ -132,11 +111,11 @@ def near_rows(w: np.ndarray, sizes: np.ndarray, max_bits: int, sides: np.ndarray
             far = np.abs(table[first[near], columns] - table[second[near], columns]).max(axis=1) > max_bits
             near = near[~far]
         a, b = first[near], second[near]
-        same = np.bitwise_count(w[a] ^ w[b]).sum(axis=1) <= max_bits
+        same = np.bitwise_count(w[a] ^ w[b]) <= max_bits
         out.append(np.stack([a[same], b[same]], axis=1))
         step += 1
         first = first[left[first] >= step]
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return np.concatenate(out)
 
 
 def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
@@ -156,21 +135,19 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x in list(root) if (r := find(x)) != x]
 
 
-def links(nodes: DataFrame, words: int, max_bits: int, recall: float | None = None) -> DataFrame:
-    """``u, v`` (u > v): trees that connect what the near pairs of ``node, w..`` connect."""
-    names = [f"w{i}" for i in range(words)]
-    masks = exact_masks(max_bits) if recall is None else sampled_masks(words, max_bits, row_count(nodes), recall)
-    cells = F.array(*(F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(_signed(m))) for n, m in zip(names, mask) if m)) for t, mask in enumerate(masks)))
-    rows = nodes.select("node", *names, F.explode(cells).alias("cell"))
+def links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``u, v`` (u > v): trees that connect what the near pairs of fingerprints ``node`` connect."""
+    cells = F.array(*(F.xxhash64(F.lit(t), F.col("node").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(exact_masks(max_bits))))
+    rows = shared_table(with_pivots(nodes), "pivots").select("node", "pivots", F.explode(cells).alias("cell"))
     sizes = rows.groupBy("cell").count().where("count > 1")
     rows = rows.join(sizes, "cell").withColumn("chunks", F.ceil(F.col("count") / CELL_ROWS))
-    member = F.struct("node", *names)
+    member = F.struct("node", "pivots")
     small = rows.where("chunks = 1").groupBy("cell").agg(F.collect_list(member).alias("members"))
     # a large cell: chunks by hash, every pair of chunks a group of its own, spread over all tasks
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
     spread = rows.where("chunks > 1").withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     large = (
-        spread.select("cell", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", *names)
+        spread.select("cell", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "pivots")
         .groupBy("cell", "a", "b")
         .agg(F.collect_list(member).alias("members"))
     )
@@ -180,9 +157,8 @@ def links(nodes: DataFrame, words: int, max_bits: int, recall: float | None = No
             members = batch.column(0)
             flat = members.flatten()
             ids = flat.field("node").to_numpy(zero_copy_only=False)
-            w = np.stack([flat.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
-            sizes = np.diff(members.offsets.to_numpy())
-            trees = forest(ids[near_rows(w, sizes, max_bits)])
+            table = np.frombuffer(b"".join(flat.field("pivots").to_pylist()), np.uint8).reshape(-1, PIVOTS)
+            trees = forest(ids[near_rows(ids.view(np.uint64), table, np.diff(members.offsets.to_numpy()), max_bits)])
             u, v = zip(*trees) if trees else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -216,39 +192,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_groups(
-    df: DataFrame,
-    shingle: int = SHINGLE,
-    words: int = 1,
-    max_bits: int = MAX_BITS,
-    recall: float | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """``doc_id, w0.., component_id`` for every row.
-
-    Fingerprints link at ``max_bits`` or fewer differing bits; ``component_id`` is
-    the smallest id that links reach.  With ``recall=None`` every link is found
-    (one word only); else each link at the limit is found with that probability,
-    and nearer ones with a higher one.
-
-    Null and empty texts have the zero fingerprint and link like any other.  Rows
-    with equal texts, or equal fingerprints, are one node.  A null id takes no
-    part and has a null component.  An empty table gives no rows; other columns,
-    whatever their names, are not read.
+def simhash_groups(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, w0, component_id`` for every row.
+
+    Fingerprints link at ``max_bits`` or fewer differing bits, every such pair;
+    ``component_id`` is the smallest id that links reach.
+
+    Null and empty texts have the zero fingerprint and link like any other; a text
+    of any length is read whole.  Nodes are fingerprints, not ids: equal ones are
+    one node, and an id on several rows with different texts links by each of them
+    alone.  A null id takes no part and has a null component.  An empty table gives
+    no rows; other columns, whatever their names, are not read.
     """
-    if recall is None and words != 1:
-        raise ValueError("exact links need one fingerprint word")
-    names = [f"w{i}" for i in range(words)]
-    prints = shared_table(fingerprints(df, shingle, words, id_col, text_col), "fingerprints")
-    nodes = shared_table(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    roots = connected(links(nodes, words, max_bits, recall))
-    of_print = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component"))
-    out = prints.join(of_print, names, "left")
-    return out.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-
-
-def keep_one(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group, or null."""
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    prints = shared_table(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    nodes = shared_table(prints.where("doc_id is not null").groupBy(F.col("w0").alias("node")).agg(F.min("doc_id").alias("least")), "nodes")
+    roots = connected(links(nodes, max_bits))
+    rooted = shared_table(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    of_print = rooted.join(least, "root").select(F.col("node").alias("w0"), "component")
+    out = prints.join(of_print, "w0", "left")
+    return out.select("doc_id", "w0", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
