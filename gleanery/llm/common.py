@@ -45,18 +45,25 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        self.remember({key: value})
+        size = self.entry + self.each * len(key)
+        if 2 * size <= self.limit:  # else too large to be worth it
+            self.held += size
+            if 2 * self.held > self.limit:
+                self._turn(size)
+            self[key] = value
         return value
 
     def remember(self, entries: dict) -> None:
         size = self.entry * len(entries) + self.each * sum(map(len, entries))
-        if 2 * size > self.limit:  # too large to be worth it
-            return
-        if 2 * (self.held + size) > self.limit:
-            self.old, self.held = dict(self), 0
-            self.clear()
-        self.held += size
-        self.update(entries)
+        if 2 * size <= self.limit:
+            self.held += size
+            if 2 * self.held > self.limit:
+                self._turn(size)
+            self.update(entries)
+
+    def _turn(self, held: int) -> None:
+        self.old, self.held = dict(self), held
+        self.clear()
 
 
 def map_batches(

@@ -18,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import Memo, map_batches, shared_table, text_or_empty
 
 #: Labelled rows of each class that training reads, at most: the bounded sample.
 MAX_LABELLED = 5_000
-#: A candidate feature occurs in so many toxic sample documents at least, and in so large a share of them.
-MIN_SUPPORT, MIN_SHARE = 3, 0.002
-#: Candidates counted among clean documents, and features that the classifier gets.
-MAX_CANDIDATES, MAX_FEATURES = 40_000, 2_000
+#: A feature occurs in so many toxic sample documents at least, and is so strongly on their side (a G statistic).
+MIN_SUPPORT, MIN_STRENGTH = 3, 3.0
 #: A feature of so many toxic sample documents, hardly ever seen in clean ones, convicts a document alone.
 SURE_SUPPORT, SURE_PRECISION = 20, 0.98
 #: Letters of word beginnings that are features beside the whole word, each also as
@@ -34,7 +32,8 @@ PREFIXES, LEVELS = (3, 4, 5, 6, 7), 3
 #: Ridge penalty, steps and rate of the logistic fit.
 RIDGE, STEPS, RATE = 2e-3, 400, 0.1
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+#: Bytes of words, and of decoded forms, that one Python worker remembers.
+WORD_BYTES, FORM_BYTES = 96 << 20, 24 << 20
 
 #: What a character may stand for, besides itself.
 LEET = {
@@ -53,6 +52,7 @@ APART = re.compile(r"[\s.\-_*·]")
 DECORATION = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 #: A letter beside a symbol or digit that may be a letter, a letter three times, letters with separators.
 DISGUISED = re.compile(r"[^\W\d_].*[0-9@$|+€(<&*#!]|[0-9@$|+€(<&*#!].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*·][^\W\d_]")
+_RUNS = re.compile(r"(.)\1*", re.S)
 INNER = re.compile(r"[.\-_*·]")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 #: Signs at the ends of a word that stand for no letter.
@@ -83,12 +83,25 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CODES**3, np.int64)
+
+        def count(parts: list[str]) -> None:
+            ends = np.cumsum([len(p) for p in parts])
+            c = BYTE_CODES[np.frombuffer("".join(parts).encode("latin-1", "replace"), np.uint8)]
+            grams = (c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:]
+            across = np.concatenate((ends[:-1] - 2, ends[:-1] - 1))  # those that two parts share
+            total[:] += np.bincount(np.delete(grams, across), minlength=_CODES**3)
+
         for batch in batches:
+            held, size = [], 0
             for text in batch.column(0).to_pylist():
-                for at in range(0, len(text), 1 << 20):
-                    part = (" " + text[max(0, at - 2) : at + (1 << 20)] + " ").lower().encode("latin-1", "replace")
-                    c = BYTE_CODES[np.frombuffer(part, np.uint8)]
-                    total += np.bincount((c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:], minlength=_CODES**3)
+                for at in range(0, max(1, len(text)), 1 << 20):
+                    held.append(" " + text[max(0, at - 2) : at + (1 << 20)].lower() + " ")
+                    size += len(held[-1])
+                    if size > 1 << 21:
+                        count(held)
+                        held, size = [], 0
+            if held:
+                count(held)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["gram", "n"])
 
@@ -169,12 +182,31 @@ def viterbi(word: str, model, breaks: bool = False) -> str:
     return min(text(chain) for cost, chain in ends if cost == least)
 
 
+def may_begin(form: str, starts: set[str]) -> bool:
+    """Whether some reading of a form, stripped of signs at its ends or not, begins with three characters of ``starts``.
+
+    Three runs give three characters of every reading; a shorter one, or one whose
+    rest is signs, ends with the mark of a whole word.  Signs that a reading may
+    begin with are stripped later, so runs of them are looked past as well.
+    """
+    runs = list(_RUNS.finditer(form))
+    for first in range(len(runs)):
+        begun = {""}
+        for at, run in enumerate(runs[first : first + 3]):
+            begun = {b if len(b) > 2 else b + reading for b in begun for reading, _ in lattice(run.group())[0]}
+        if any((b + "$")[:3] in starts or (b.rstrip(STRIP) + "$")[:3] in starts for b in begun):
+            return True
+        if runs[first].group()[0] not in STRIP:
+            return False
+    return False
+
+
 def word_features(word: str) -> list[str]:
     """The whole word (marked by its end) and its beginnings."""
     return [word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def text_features(words: set[str]) -> set[str]:
+def text_features(words) -> set[str]:
     """Features of a text's distinct words, with the number of words at their end."""
     counts: dict[str, int] = {}
     for word in words:
@@ -188,20 +220,19 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()  # single cells of lists are read faster
-        self.known: dict[tuple[str, bool], str] = {}
+        self.whole = Memo(lambda form: viterbi(form, self.model), FORM_BYTES)
+        self.broken = Memo(lambda form: viterbi(form, self.model, True), FORM_BYTES)
 
     def decoded(self, form: str, breaks: bool = False) -> str:
-        """The likeliest reading; short forms are remembered."""
-        if len(form) > 40:
-            return viterbi(form, self.model, breaks)
-        if (found := self.known.get((form, breaks))) is None:
-            if len(self.known) >= CACHE_WORDS // 4:
-                self.known.clear()
-            found = self.known[form, breaks] = viterbi(form, self.model, breaks)
-        return found
+        """The likeliest reading."""
+        return (self.broken if breaks else self.whole)[form]
 
-    def readings(self, token: str) -> list[str]:
-        """The plain word of a white-space token, then what it may disguise."""
+    def readings(self, token: str, starts: set[str] | None = None) -> list[str]:
+        """The plain word of a white-space token, then what it may disguise.
+
+        With ``starts`` (of known features) forms are left undecoded of which no
+        reading, however unlikely, begins as a known feature does.
+        """
         plain = token.strip(STRIP)
         edged = token.strip(EDGES)
         if edged == plain and plain.isalpha() and not DOUBLED.search(plain):
@@ -212,7 +243,7 @@ class Restorer:
         if core != plain and core.strip(STRIP).isalpha() and core.strip(STRIP) != plain:
             words.append(core.strip(STRIP))
         for form in dict.fromkeys((core, INNER.sub("", core), edged)):
-            if len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)):
+            if len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)) and (starts is None or may_begin(form, starts)):
                 word = self.decoded(form)
                 # symbols left as they are at the ends are no part of the word
                 words += [w for w in dict.fromkeys((word, word.strip(STRIP)) if form != edged else (word.strip(STRIP),)) if w and w not in words]
@@ -242,11 +273,22 @@ class Lexicon(NamedTuple):
     sure: dict[str, float]
 
 
-def _counted(rows: DataFrame, model: np.ndarray, only: frozenset[str] | None) -> DataFrame:
-    """``feature, n``: documents (rows of ``text``) that hold each feature."""
+def restored(sample: DataFrame, model: np.ndarray) -> DataFrame:
+    """``words, toxic`` of ``text, toxic``: each text's distinct words with disguises undone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
+        for batch in batches:
+            found = [sorted(restorer.words(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "toxic"])
+
+    return map_batches(sample.select("text", "toxic"), run, "words array<string>, toxic int")
+
+
+def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+    """``feature, n``: documents (rows of ``words``) that hold each feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
 
         def sent() -> pa.RecordBatch:
@@ -255,15 +297,15 @@ def _counted(rows: DataFrame, model: np.ndarray, only: frozenset[str] | None) ->
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for feature in text_features(restorer.words(text)):
+            for words in batch.column(0).to_pylist():
+                for feature in text_features(words):
                     if only is None or feature in only:
                         counts[feature] = counts.get(feature, 0) + 1
             if len(counts) > 200_000:
                 yield sent()
         yield sent()
 
-    return map_batches(rows.select("text"), run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("words"), run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _sketch(df: DataFrame) -> DataFrame:
@@ -283,9 +325,9 @@ def _sketch(df: DataFrame) -> DataFrame:
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, toxic`` of the labelled rows that may be learnt from."""
+    """``doc_id, toxic`` of the labelled rows that may be learnt from; an id with both labels counts as toxic."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    return known.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    return known.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,30 +379,30 @@ def learn(sample: DataFrame, model: np.ndarray, shares: dict[int, int] | None =
     """A classifier from ``text, toxic``.
 
     Candidates are features of toxic documents; clean documents are counted for
-    these alone, and the strongest feed a logistic fit.  ``shares`` are the class
-    sizes of all labelled rows, for the intercept.  All of it is bounded by the
-    size of the sample.
+    these alone, and those on the toxic side feed a logistic fit.  ``shares`` are
+    the class sizes of all labelled rows, for the intercept.  All of it is bounded
+    by the size of the sample, whose texts are restored once.
     """
+    sample = shared_table(restored(sample, model), "restored")
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Lexicon({}, -8.0, {})
-    support = max(MIN_SUPPORT, math.ceil(MIN_SHARE * n1))
-    top = _counted(toxic, model, None).where(F.col("n") >= support).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).toArrow()
+    counted = lambda rows, only: dict(zip(*(c.to_pylist() for c in rows.transform(_counted, only).toArrow().columns)))
+    top = _counted(toxic, None).where(F.col("n") >= MIN_SUPPORT).toArrow()
     n_toxic = dict(zip(*(c.to_pylist() for c in top.columns)))
-    n_clean = dict(zip(*(c.to_pylist() for c in _counted(clean, model, frozenset(n_toxic)).toArrow().columns)))
+    n_clean = counted(clean, frozenset(n_toxic))
     strength = {f: _strength(n, n_clean.get(f, 0), n1, n0) for f, n in n_toxic.items()}
-    names = sorted((f for f in strength if strength[f] > 3), key=lambda f: (-strength[f], f))[:MAX_FEATURES]
+    names = sorted((f for f in strength if strength[f] > MIN_STRENGTH), key=lambda f: (-strength[f], f))
     number = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
         for batch in batches:
-            hits = [sorted(number[f] for f in text_features(restorer.words(t)) if f in number) for t in batch.column(0).to_pylist()]
+            hits = [sorted(number[f] for f in text_features(words) if f in number) for words in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), batch.column(1)], ["hits", "toxic"])
 
-    rows = map_batches(sample.select("text", "toxic"), run, "hits array<int>, toxic int").toArrow().combine_chunks()
+    rows = map_batches(sample, run, "hits array<int>, toxic int").toArrow().combine_chunks()
     hits = rows.column("hits").combine_chunks()
     weights, intercept = fit(np.diff(hits.offsets.to_numpy()), hits.flatten().to_numpy(), rows.column("toxic").to_numpy().astype(float), len(names))
     if not (shares and shares.get(1) and shares.get(0)):
@@ -379,18 +421,13 @@ class Scorer:
         self.lexicon, self.restorer = lexicon, Restorer(model)
         known = self.known = {f[:-1] for f in lexicon.weights}
         starts = {f[:3] for f in known}
-        outer = self
 
-        class Cache(dict):
-            def __missing__(self, token: str) -> tuple[str, ...]:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                words = outer.restorer.readings(token)
-                # a word without a known beginning of three letters has no known feature but itself
-                found = self[token] = tuple(w for w in words if w + "$" in known or w[:3] in starts and any(f in known for f in word_features(w)))
-                return found
+        def hits(token: str) -> tuple[str, ...]:
+            # a word without a known beginning of three letters has no known feature but itself
+            words = self.restorer.readings(token, starts)
+            return tuple(w for w in words if w + "$" in known or w[:3] in starts and any(f in known for f in word_features(w)))
 
-        self.cache = Cache()
+        self.cache = Memo(hits, WORD_BYTES, 180)
 
     def score(self, text: str) -> float:
         text = text.lower()
@@ -405,8 +442,6 @@ class Scorer:
 
 def train(df: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and the character language model, both of bounded size."""
-    from .common import shared_table
-
     model = language_model(trigram_counts(df))
     sample = shared_table(labelled_sample(df, labels, limit), "labelled")
     shares = {r["toxic"]: r["count"] for r in training_labels(labels).groupBy("toxic").count().collect()}
@@ -416,9 +451,10 @@ def train(df: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
 def toxicity(df: DataFrame, trained: tuple[Lexicon, np.ndarray], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    Only the text is scored.  A null or empty text has the score of a text
-    without any known feature; a null id isn't held out; repeated rows keep their
-    rows; an empty table gives none; other columns are not read.
+    Only the text is scored, whole, whatever its length.  A null or empty text has
+    the score of a text without any known feature; a null id isn't held out;
+    repeated rows keep their rows; an empty table gives none; other columns are not
+    read.
     """
     scored = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     scored = map_batches(scored, scoring(trained, 1, ["doc_id", "score"], keep=[0]), "doc_id long, score double")
