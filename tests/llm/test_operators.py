@@ -25,7 +25,7 @@ from gleanery.llm.packing import ByteLevelEncoder, SumOfSquares, pack
 from gleanery.llm.shingle_sets import keep_one, similar_groups
 from gleanery.llm.simhash_dedup import exact_masks, majority, near_rows, pivot_table, shingle_hashes, simhash_groups
 from gleanery.llm.token_counts import WordPieceCounter, token_counts
-from gleanery.llm.toxicity import Scorer, reject_toxic, toxicity, train, viterbi
+from gleanery.llm.toxicity import STRIP, Scorer, lattice, may_begin, reject_toxic, toxicity, train, trigram_counts, viterbi
 
 WS = " \t\n\x0b\x0c\r"
 LONG = ("Some Words of a long text\n\tthat goes on, über and über.\n" * 4000) + "end"
@@ -601,9 +601,10 @@ def test_toxicity_on_held_out_rows(spark, trained):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in rows(toxicity(documents(spark, sf), trained))]
     assert len(got) == 10_000 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
-    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
-    right = sum(a == b for a, b in held)
-    assert right / len(held) >= 0.95
+    held = Counter((r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels)
+    assert sum(held.values()) > 500
+    assert held[1, 1] / (held[1, 1] + held[0, 1]) >= 0.9, held  # recall
+    assert held[1, 1] / (held[1, 1] + held[1, 0]) >= 0.9, held  # precision
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
@@ -639,6 +640,77 @@ def test_disguises_of_every_form_are_decoded():
     assert len(viterbi("5tup1d" * 5000, restorer.model)) == 30_000
 
 
+def small_model(text):
+    from gleanery.llm.toxicity import BYTE_CODES
+
+    n = np.zeros((64, 64, 64))
+    c = BYTE_CODES[np.frombuffer(text.encode(), np.uint8)]
+    np.add.at(n, (c[:-2], c[1:-1], c[2:]), 1)
+    p1 = (n.sum((0, 1)) + 1) / (n.sum() + 64)
+    p2 = (n.sum(0) + 5 * p1) / (n.sum(0).sum(1, keepdims=True) + 5)
+    return -np.log((n + 5 * p2) / (n.sum(2, keepdims=True) + 5))
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    from itertools import product
+
+    from gleanery.llm.toxicity import CHAR_CODES
+
+    model = small_model(" you stupid idiot said the asshole is a total moron and left " * 20).tolist()
+    rng = np.random.default_rng(3)
+
+    def cost(text):
+        codes = [0, 0, *(CHAR_CODES.get(c, 63) for c in text), 0]
+        return sum(model[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    def options(word, breaks):
+        for i, run in enumerate(lattice(word)):
+            more = list(run)
+            if breaks:
+                more += [(f"{r[0]} {r[1:]}", c) for r, c in run if len(r) == 2 and r[0] == r[1]]
+                more += [(" " + r, c) for r, c in more] if i else []
+            yield more
+
+    for _ in range(200):
+        word = "".join(rng.choice(list("aiostdm013@$!*#|"), int(rng.integers(1, 7))))
+        for breaks in (False, True):
+            costs = sorted((cost("".join(r for r, _ in path)) + sum(c for _, c in path), "".join(r for r, _ in path)) for path in product(*options(word, breaks)))
+            best = viterbi(word, model, breaks)
+            assert any(t == best for c, t in costs if c <= costs[0][0] + 1e-9), (word, best, costs[:3])
+
+
+def test_forms_are_left_undecoded_only_where_no_reading_can_count():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        form = "".join(rng.choice(list("asdfg!*@(.1"), int(rng.integers(1, 6))))
+        readings = {"".join(r for r, _ in path) for path in product(*lattice(form))}
+        begins = {(w + "$")[:3] for r in readings for w in (r, r.strip(STRIP)) if w}
+        for starts in ({str(b)} for b in begins):
+            assert may_begin(form, starts), (form, starts)
+    assert not may_begin("ellement", {"stu"}) and may_begin("sstupid", {"stu"})
+
+
+def test_trigrams_equal_a_plain_count(spark):
+    from gleanery.llm.toxicity import BYTE_CODES
+
+    data = ["", None, "a", "Hello, wörld! ", "日本 x" * 9, "İİ" * 5, "q" * 300]
+    want = Counter()
+    for t in data:
+        c = BYTE_CODES[np.frombuffer((" " + (t or "").lower() + " ").encode("latin-1", "replace"), np.uint8)].tolist()
+        want.update((a * 64 + b) * 64 + d for a, b, d in zip(c, c[1:], c[2:]))
+    got = {r["gram"]: r["n"] for r in rows(trigram_counts(spark.createDataFrame([(t,) for t in data], "text string").coalesce(1)))}
+    assert got == dict(want)
+
+
+def test_an_id_with_both_labels_is_toxic(spark):
+    from gleanery.llm.toxicity import training_labels
+
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (3, 0, 0), (3, 0, None), (None, 0, 1), (4, 0, 7)], "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"], r["toxic"]) for r in rows(training_labels(labels)) if r["doc_id"] in (1, 3)} <= {(1, 1), (3, 0)}
+
+
 def test_toxicity_odd_documents(spark, odd, none, trained):
     got = rows(toxicity(odd, trained))
     assert len(got) == len(ODD) and not any(r["held_out"] for r in got if r["doc_id"] is None)
