@@ -13,7 +13,13 @@ def check_range(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
-def check_metric(metric: str) -> str:
-    if metric not in ("cosine", "l2"):
+def check_metric(metric: str, *more: str) -> str:
+    if metric not in ("cosine", "l2", *more):
         raise GleaneryError("INVALID_METRIC", "metric must be cosine or l2", value=metric)
     return metric
+
+
+def check_one_of(name: str, value: str, known: tuple[str, ...]) -> str:
+    if value not in known:
+        raise GleaneryError("INVALID_ARGUMENT", f"{name} must be one of {', '.join(known)}", value=value)
+    return value

@@ -12,6 +12,18 @@ STOP_WORDS = sorted(
         "these they this those to was we were will with you your".split()
     )
 )
+#: Question scaffolding that coverage leaves out too.
+QUESTION_WORDS = sorted(
+    set(
+        STOP_WORDS
+        + "about also anything definition did do does explain explained facts history how important information known me often overview said tell through usually "
+        "what when where which while who why without work works".split()
+    )
+)
+#: Shortest word that coverage counts, and what a word weighs that the corpus uses everywhere.
+COVERAGE_LENGTH, COMMON_WEIGHT = 3, 1.0 / 3
+#: Seeds of the two hashes of a bloom filter.
+BLOOM_SEEDS = (0, 0x9E3779B9)
 CHROME = ("script", "style", "nav", "header", "footer", "aside")
 
 
@@ -21,6 +33,22 @@ def lexical_tokens(text: Column, stop_words: bool = False) -> Column:
     return F.filter(tokens, lambda w: ~w.isin(STOP_WORDS)) if stop_words else tokens
 
 
+def all_tokens(text: Column) -> Column:
+    """Runs of ``a-z0-9'`` of any length, as calibration counts them."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
+
+
+def content_words(text: Column) -> Column:
+    """Words that coverage asks for, repeats included."""
+    return F.filter(all_tokens(text), lambda w: (F.length(w) >= COVERAGE_LENGTH) & ~w.isin(QUESTION_WORDS))
+
+
+def word_forms(word: Column) -> Column:
+    """A word, its plurals, and its singular: any of them grounds it."""
+    forms = F.array(word, F.concat(word, F.lit("s")), F.concat(word, F.lit("es")), F.when(word.endswith("s"), F.substring(word, F.lit(1), F.length(word) - 1)))
+    return F.array_compact(forms)
+
+
 def normalise_text(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, "\r", ""), "[ \t]+", " ")
     return F.btrim(F.regexp_replace(text, "\n{3,}", "\n\n"), F.lit(" \t\n"))
@@ -42,9 +70,40 @@ def html_title(html: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
+    """Double-quoted targets as they are written."""
     return F.regexp_extract_all(html, F.lit(r'(?i)href\s*=\s*"([^"]*)"'), F.lit(1))
 
 
+def link_targets(html: Column) -> Column:
+    """Targets in double quotes, single quotes or none."""
+    raw = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=`]+)"""), F.lit(1))
+    return F.transform(raw, lambda t: F.regexp_replace(t, r"""^["']|["']$""", ""))
+
+
+def meta_refresh(html: Column) -> Column:
+    """Where a page's refresh tag leads, as it is written; null if there is none."""
+    tag = F.regexp_extract(html, r"""(?i)<meta[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>""", 0)
+    target = F.regexp_extract(tag, r"""(?i)content\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'>\s;]+)""", 1)
+    return F.when(target != "", target)
+
+
+def url_pattern(patterns: list[str]) -> str:
+    """Patterns over whole URL paths, ``*`` alone a wildcard, as one regular expression."""
+    one = lambda p: ".*".join("".join("\\" + c if c in r".+?^${}()|[]\\" else c for c in part) for part in p.split("*"))
+    return "^(?:" + "|".join(map(one, patterns)) + ")$" if patterns else "(?!)"
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^https?://[^/?#]+(/[^?#]*)?", 1)
+
+
+def crawlable(url: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
+    """Whether a crawl takes a URL; print pages, which repeat a whole site, are always left out."""
+    path = url_path(url)
+    allowed = ~path.rlike(url_pattern(["*/print.html", *(exclude or [])]))
+    return allowed & path.rlike(url_pattern(include)) if include else allowed
+
+
 def html_body(html: Column) -> Column:
     """The main part without page furniture."""
     parts = [F.regexp_extract(html, rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1) for t in ("main", "article", "body")]
@@ -61,6 +120,7 @@ def html_text(html: Column) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
+    """Text without markup: images go, links keep their words."""
     text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", " ")
     text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
     return normalise_text(F.regexp_replace(text, "[#>*_`~-]", " "))
@@ -100,6 +160,51 @@ def fnv1a(word: Column, seed: int = 0) -> Column:
     return F.aggregate(codes, F.lit(0x811C9DC5 ^ seed).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def term_key(word: Column) -> Column:
+    """One signed 64-bit key of two hashes."""
+    return F.shiftleft(fnv1a(word, BLOOM_SEEDS[0]), 32).bitwiseOR(fnv1a(word, BLOOM_SEEDS[1]))
+
+
+def bloom_places(word: Column, bits: int) -> Column:
+    """The bits of a word in a filter of so many (a power of two)."""
+    return F.array(*(fnv1a(word, seed) % bits for seed in BLOOM_SEEDS))
+
+
+def bloom_bits(words: int, least: int = 1 << 14, most: int = 1 << 21) -> int:
+    """Bits of a filter for so many words: 32 each, a power of two within bounds."""
+    bits = least
+    while bits < 32 * words and bits < most:
+        bits *= 2
+    return bits
+
+
+def clean_title(title: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s*[/|>]\s*", " "), F.lit(" \t\n\r"))
+
+
+def first_sentence(text: Column, words_at_most: int = 28) -> Column:
+    text = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), F.lit(" "))
+    return F.array_join(F.slice(F.split(F.element_at(F.split(text, r"(?<=[.!?])\s+", 2), 1), " "), 1, words_at_most), " ")
+
+
+def keywords(text: Column, most: int = 10) -> Column:
+    """The first distinct words of three letters or more, without function words."""
+    found = F.filter(F.array_distinct(all_tokens(text)), lambda w: (F.length(w) >= 3) & ~w.isin(QUESTION_WORDS))
+    return F.array_join(F.slice(found, 1, most), " ")
+
+
+def word_dropout(text: Column, key: Column, rate: float = 0.22) -> Column:
+    """A text without about ``rate`` of its words, chosen by hashes of key and place; a text left with under 3 keeps its first 6."""
+    all_words = words(text)
+    kept = F.filter(all_words, lambda w, i: F.pmod(F.xxhash64(key, i, w), F.lit(10_000)) >= int(rate * 10_000))
+    return F.array_join(F.when(F.size(kept) < F.least(F.lit(3), F.size(all_words)), F.slice(all_words, 1, 6)).otherwise(kept), " ")
+
+
+def folded_query(text: Column) -> Column:
+    """A query text by which repeats are told: lower case, single spaces."""
+    return F.lower(F.btrim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def little_endian_u32(hex_digest: Column) -> Column:
     turned = F.concat(*(F.substring(hex_digest, i, 2) for i in (7, 5, 3, 1)))
     return F.conv(turned, 16, 10).cast("long")

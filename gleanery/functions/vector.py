@@ -23,7 +23,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    return F.transform(v, lambda x: x / norm(v))
+    """Unit length; the squares are summed once, not for every component.  A zero vector stays."""
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x, lambda square: F.transform(v, lambda x: x / F.greatest(F.sqrt(square), F.lit(1e-30))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -68,6 +69,55 @@ def asymmetric_dot(query: Column, q: Column, scale: Column, offset: Column) -> C
     return offset * total(query) + scale * dot(query, as_double(q))
 
 
+def asymmetric_l2(query: Column, q: Column, scale: Column, offset: Column, sum_q: Column, sum_q2: Column) -> Column:
+    """Distance of a float query to a coded row, from sums and one dot product."""
+    row = F.size(q) * offset * offset + 2 * offset * scale * sum_q + scale * scale * sum_q2
+    return F.sqrt(F.greatest(F.lit(0.0), dot(query, query) - 2 * asymmetric_dot(query, q, scale, offset) + row))
+
+
+def code_dot(a: Column, b: Column) -> Column:
+    """Exact integer dot product of two codes."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda t, x: t + x)
+
+
+def _coded_square(r: Column) -> Column:
+    return F.size(r["q"]) * r["offset"] * r["offset"] + 2 * r["offset"] * r["scale"] * r["sum_q"] + r["scale"] * r["scale"] * r["sum_q2"]
+
+
+def _coded_dot(a: Column, b: Column) -> Column:
+    cross = a["offset"] * b["scale"] * b["sum_q"] + b["offset"] * a["scale"] * a["sum_q"]
+    return F.size(a["q"]) * a["offset"] * b["offset"] + cross + a["scale"] * b["scale"] * code_dot(a["q"], b["q"])
+
+
+def symmetric_l2(a: Column, b: Column) -> Column:
+    """Distance of two coded rows (structs of ``q, scale, offset, sum_q, sum_q2``) in closed form."""
+    return F.sqrt(F.greatest(F.lit(0.0), _coded_square(a) + _coded_square(b) - 2 * _coded_dot(a, b)))
+
+
+def symmetric_cosine(a: Column, b: Column) -> Column:
+    """Cosine distance of two coded rows in closed form."""
+    cosine = _coded_dot(a, b) / F.greatest(F.sqrt(_coded_square(a) * _coded_square(b)), F.lit(1e-30))
+    return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))
+
+
+def sketch_cosine(pooled_unit_query: Column, p: Column, scale: Column, offset: Column, width: int) -> Column:
+    """Coarse cosine distance: every pooled component stands for ``width`` of them."""
+    return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), width * asymmetric_dot(pooled_unit_query, p, scale, offset)))
+
+
+def int8_row(v: Column) -> Column:
+    """``scale, q``: signed codes by the largest magnitude, rounded half to even."""
+    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    scale = F.when(top == 0, F.lit(1.0)).otherwise(top / 127)
+    return F.struct(scale.alias("scale"), F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)), lambda t: F.transform(v, lambda x: F.rint(x / F.when(t == 0, F.lit(1.0)).otherwise(t / 127)).cast("int"))).alias("q"))
+
+
+def random_level(key: Column, m: int, seed: int = 0) -> Column:
+    """A geometric level floor(-ln u / ln m) with u from a hash of the key."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) + 1).cast("double") / F.lit(float(1 << 53))
+    return F.floor(-F.log(u) / F.log(F.lit(float(m)))).cast("int")
+
+
 def pooled(q: Column, dims: int, width: int) -> Column:
     """Means of adjacent codes, rounded half up: ``dims`` groups of ``width``."""
     return F.transform(
@@ -82,6 +132,11 @@ def pooled_query(v: Column, dims: int, width: int) -> Column:
     )
 
 
+def micro(q: Column, dims: int, width: int, micro_dims: int) -> Column:
+    """A second, coarser pooling of the original codes, not of the first pooling."""
+    return pooled(q, micro_dims, dims * width // micro_dims)
+
+
 def nibbles(p: Column) -> Column:
     """4-bit codes of pooled bytes."""
     return F.transform(p, lambda x: F.least(F.lit(15), F.floor(x / 17 + 0.5).cast("int")))

@@ -1,8 +1,8 @@
 """Exact nearest neighbours of a query set, in blocks.
 
-Queries that fit a checked size travel to the corpus; beyond it, blocks of
-queries meet blocks of the corpus, a task for each pair.  Either way a task keeps
-the best k of each query only, and a window ranks what is left.
+Queries that fit a checked number and size travel to the corpus; beyond it, blocks
+of queries meet blocks of the corpus, a task for each pair.  Either way a task
+sends the best k of each query only, and a window ranks what is left.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ..errors import check_metric, check_range
+from ..errors import GleaneryError, check_metric, check_range
 from ..functions import vector as V
 
-#: Queries that are sent to every task, at most; and rows of a block beyond.
-SENT_QUERIES, BLOCK_ROWS, QUERY_ROWS = 4_096, 65_536, 4_096
+#: Queries, and bytes of them, that are sent to every task, at most; and rows of a block beyond.
+SENT_QUERIES, SENT_BYTES, BLOCK_ROWS, QUERY_ROWS = 4_096, 32 << 20, 65_536, 4_096
+#: Cells of a matrix of distances that is made at once.
+CELLS = 1 << 22
 #: Decimals by which distances are ranked, so that engines agree on ties.
 DIGITS = 9
 HITS = "query_id long, id long, distance double"
@@ -41,6 +43,8 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
         return np.round(1 - np.clip(unit(q) @ unit(x).T, -1, 1), DIGITS)
+    if metric == "inner":
+        return np.round(1 - np.clip(q @ x.T, -1, 1), DIGITS)
     square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
     near = np.sqrt(np.maximum(square, 0))
     for i, j in np.argwhere(square < 1e-6):  # differences cancel there
@@ -48,60 +52,90 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.round(near, DIGITS)
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, self_hits: bool):
-    if not len(ids) or not len(query_ids):
-        return
-    d = distances(q, x, metric)
-    for i, query_id in enumerate(query_ids):
-        row = d[i] if self_hits else np.where(ids == query_id, np.inf, d[i])
-        edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-        found = np.flatnonzero((row <= edge) & np.isfinite(row))
-        found = found[np.lexsort((ids[found], row[found]))][:k]
-        yield np.full(len(found), query_id), ids[found], row[found]
-
-
-def _table(parts: list) -> dict:
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    return dict(zip(("query_id", "id", "distance"), columns))
+class Nearest:
+    """The k nearest rows of each query so far, ties to the smaller id."""
+
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int, metric: str, self_hits: bool = True):
+        self.query_ids, self.q, self.k, self.metric, self.self_hits = query_ids, q, k, metric, self_hits
+        self.held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # place of the query, id, distance
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(ids) or not len(self.query_ids):
+            return
+        new = [self.held]
+        step = max(1, CELLS // len(ids))
+        for at in range(0, len(self.q), step):
+            d = distances(self.q[at : at + step], x, self.metric)
+            if not self.self_hits:
+                d[self.query_ids[at : at + step, None] == ids[None, :]] = np.inf
+            edge = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf
+            i, j = np.nonzero((d <= edge) & np.isfinite(d))
+            new.append([i + at, ids[j], d[i, j]])
+        self.held = self._cut([np.concatenate(c) for c in zip(*new)])
+
+    def _cut(self, held: list[np.ndarray]) -> list[np.ndarray]:
+        place, ids, distance = held
+        order = np.lexsort((ids, distance, place))
+        place = place[order]
+        first = np.searchsorted(place, place)
+        kept = order[np.arange(len(order)) - first < self.k]
+        return [c[kept] for c in held]
+
+    def table(self) -> dict:
+        place, ids, distance = self.held
+        return {"query_id": self.query_ids[place], "id": ids, "distance": distance}
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", self_hits: bool = True) -> DataFrame:
     """``query_id, rank, id, distance`` of each query's k nearest, ties to the smaller id.
 
     ``queries``: ``query_id, vector``; ``corpus``: ``id, vector``; both validated and
-    of one dimension.  L2 distances are square-rooted.
+    of one dimension.  L2 distances are square-rooted.  With k = 0 there are no
+    rows; with k beyond the corpus all of it comes back.
     """
-    check_range("k", k, 1, 1 << 20)
-    check_metric(metric)
+    check_range("k", k, 0, 1 << 20)
+    check_metric(metric, "inner")  # inner: one minus the clamped product, nothing is made unit
     spark = corpus.sparkSession
     ship(spark)
     q, x = queries.select("query_id", V.as_double(F.col("vector")).alias("v")), corpus.select("id", V.as_double(F.col("vector")).alias("v"))
     head = q.limit(SENT_QUERIES + 1).toArrow()
-    if head.num_rows <= SENT_QUERIES:
+    if head.num_rows <= SENT_QUERIES and head.nbytes <= SENT_BYTES:
         query_ids, matrix = head.column("query_id").to_numpy(), _matrix(head.column("v"))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = Nearest(query_ids, matrix, max(1, k), metric, self_hits)
             for batch in batches:
-                yield pa.RecordBatch.from_pydict(
-                    _table(list(_best(query_ids, matrix, batch.column(0).to_numpy(), _matrix(batch.column(1)), k, metric, self_hits)))
-                )
+                near.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+            yield pa.RecordBatch.from_pydict(near.table())
 
         near = x.mapInArrow(scan, HITS)
     else:
-        blocks, query_blocks = max(1, -(-x.count() // BLOCK_ROWS)), max(1, -(-q.count() // QUERY_ROWS))
+        near = blocks_join(q, x, max(1, k), metric, self_hits)
+    return top_k(near, k)
 
-        def spread(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-            block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-            return df.select("*", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("b", "qb")
 
-        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table(_table([]))
-            ids, m = right.column("id").to_numpy(), _matrix(right.column("v"))
-            return pa.table(_table(list(_best(left.column("query_id").to_numpy(), _matrix(left.column("v")), ids, m, k, metric, self_hits))))
+def blocks_join(q: DataFrame, x: DataFrame, k: int, metric: str, self_hits: bool = True) -> DataFrame:
+    """Hits of every block of ``query_id, v`` with every block of ``id, v``."""
+    blocks, query_blocks = max(1, -(-x.count() // BLOCK_ROWS)), max(1, -(-q.count() // QUERY_ROWS))
 
-        near = spread(q, "query_id", "qb", query_blocks, "b", blocks).cogroup(spread(x, "id", "b", blocks, "qb", query_blocks)).applyInArrow(pair, HITS)
-    return top_k(near, k)
+    def spread(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return df.select("*", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("b", "qb")
+
+    return spread(q, "query_id", "qb", query_blocks, "b", blocks).cogroup(spread(x, "id", "b", blocks, "qb", query_blocks)).applyInArrow(pair_search(k, metric, self_hits), HITS)
+
+
+def pair_search(k: int, metric: str, self_hits: bool = True):
+    """The function of one group of queries and one of rows."""
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        near = Nearest(left.column("query_id").to_numpy(), _matrix(left.column("v")), k, metric, self_hits)
+        near.add(right.column("id").to_numpy(), _matrix(right.column("v")))
+        return pa.table(near.table())
+
+    return pair
 
 
 def top_k(hits: DataFrame, k: int, descending: bool = False, by: str = "distance") -> DataFrame:
@@ -121,6 +155,51 @@ def live(corpus: DataFrame, tombstones: DataFrame) -> DataFrame:
     return corpus.join(tombstones.select("id").distinct(), "id", "left_anti")
 
 
+def from_source(corpus: DataFrame, source: str, column: str = "source") -> DataFrame:
+    """Only rows of one source; the filter reaches the scan."""
+    return corpus.where(F.col(column) == source)
+
+
+def unusable_batch(df: DataFrame, vector_col: str, dim: int | None = None, cosine: bool = True) -> None:
+    """Raise if any row of a batch is unusable, before anything of it is used."""
+    bad = split_vectors(df, vector_col, dim, cosine)[1].select("reason").limit(1).collect()
+    if bad:
+        raise GleaneryError("INVALID_VECTOR", "the batch holds an unusable vector", reason=bad[0]["reason"])
+
+
+def self_recall_verdict(ranks: DataFrame) -> DataFrame:
+    """One row ``verdict``: exact (all first), degraded (all among the first five) or error."""
+    worst = F.max(F.coalesce("self_rank", F.lit(6)))
+    return ranks.agg(F.when(worst == 1, "exact").when(worst <= 5, "degraded").otherwise("error").alias("verdict"), F.count("*").alias("samples"))
+
+
+def diverse(queries: DataFrame, hits: DataFrame, corpus: DataFrame, m: int, metric: str = "cosine") -> DataFrame:
+    """``query_id, rank, id, distance``: m of each query's candidates, spread out.
+
+    Nearest first, a candidate is taken if it is nearer to the query than to every
+    one taken before; places left are filled with the nearest of the rest.  A
+    query's candidates are few (the k of a search), so they meet in one task.
+    """
+    check_range("m", m, 1, 1 << 12)
+    check_metric(metric)
+    ship(corpus.sparkSession)
+    held = hits.select("query_id", "id", "distance").join(corpus.select("id", V.as_double(F.col("vector")).alias("v")), "id")
+
+    def pick(group: pa.Table) -> pa.Table:
+        ids, d, x = group.column("id").to_numpy(), group.column("distance").to_numpy(), _matrix(group.column("v"))
+        order = np.lexsort((ids, d))
+        between = distances(x, x, metric)
+        taken: list[int] = []
+        for i in order:
+            if len(taken) < m and all(d[i] < between[i, j] for j in taken):
+                taken.append(i)
+        taken += [i for i in order if i not in taken][: m - len(taken)]
+        taken.sort(key=lambda i: (d[i], ids[i]))
+        return pa.table({"query_id": [group.column("query_id")[0].as_py()] * len(taken), "rank": pa.array(range(1, len(taken) + 1), pa.int32()), "id": ids[taken], "distance": d[taken]})
+
+    return held.groupBy("query_id").applyInArrow(pick, "query_id long, rank int, id long, distance double")
+
+
 def self_recall(corpus: DataFrame, sample: DataFrame, metric: str = "cosine") -> DataFrame:
     """``query_id, self_rank``: where each sampled row finds itself among its 5 nearest."""
     hits = knn_join(sample.select(F.col("id").alias("query_id"), "vector"), corpus, 5, metric)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._shared import shared_table
 from ..functions.text import lexical_tokens
 from .knn import top_k
 
@@ -21,27 +22,47 @@ def doc_lengths(docs: DataFrame, stop_words: bool = True) -> DataFrame:
     return docs.select("id", F.size(lexical_tokens(F.col("text"), stop_words)).cast("long").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """``query_id, rank, id, score``: the n best documents of each ``query_id, text``.
+def tables(docs: DataFrame, stop_words: bool = True) -> dict[str, DataFrame]:
+    """``postings`` (``term, id, tf``), ``terms`` (``term, df``), ``doc_stats`` (``id, dl``) and ``corpus_stats`` (``n, total``).
+
+    Texts are tokenised in one pass; everything else comes from counts of it.
+    """
+    tokens = docs.select("id", lexical_tokens(F.col("text"), stop_words).alias("t"))
+    counted = tokens.select("id", F.explode_outer("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counted = shared_table(counted, "postings")
+    held = counted.where("term is not null")
+    lengths = counted.groupBy("id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).alias("dl"))
+    return {
+        "postings": held.select("term", "id", "tf"),
+        "terms": held.groupBy("term").agg(F.count("*").alias("df")),
+        "doc_stats": lengths,
+        "corpus_stats": lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")),
+    }
+
+
+def bm25_stored(queries: DataFrame, stored: dict[str, DataFrame], n: int) -> DataFrame:
+    """``query_id, rank, id, score``: the n best documents of each ``query_id, text``, from ``tables``.
 
     Unique query terms meet postings in an equi-join, so only documents that hold
     a term are touched.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
-    held, lengths = postings(docs), doc_lengths(docs)
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.sum("dl").cast("double").alias("total"))
-    wanted = held.join(q.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    tf, dl, total, count = F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("total"), F.col("n")
-    idf = F.log(F.lit(1.0) + (count - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    wanted = stored["postings"].join(q.select("term").distinct(), "term", "left_semi")
+    tf, dl, total, count, df = (F.col(c).cast("double") for c in ("tf", "dl", "total", "n", "df"))
+    idf = F.log(F.lit(1.0) + (count - df + F.lit(0.5)) / (df + F.lit(0.5)))
     average = F.greatest(F.lit(1.0), total / count)
     score = idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / average))
-    one = F.broadcast(stats)  # a single row
-    scored = q.join(df, "term").join(wanted, "term").join(lengths, "id").join(one).select("query_id", "id", score.alias("part"))
+    one = F.broadcast(stored["corpus_stats"])  # a single row
+    scored = q.join(stored["terms"], "term").join(wanted, "term").join(stored["doc_stats"], "id").join(one).select("query_id", "id", score.alias("part"))
     sums = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(sums, n, descending=True, by="score")
 
 
+def bm25(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``bm25_stored`` over tables made of ``docs``."""
+    return bm25_stored(queries, tables(docs), n)
+
+
 def score_floor(hits: DataFrame, share: float = 3.0) -> DataFrame:
     """Hits of at least a ``share``-th of their query's best score."""
     best = F.max("score").over(Window.partitionBy("query_id"))

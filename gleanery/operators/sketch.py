@@ -32,19 +32,37 @@ def candidate_depth(count: int, k: int, rerank: int = 0, recommended: int = 0) -
 
 
 def candidates(queries: DataFrame, sketch: DataFrame, dims: int, width: int, depth: int, metric: str = "l2") -> DataFrame:
-    """``query_id, rank, id, distance`` of the ``depth`` nearest sketches."""
-    pooled = queries.select("query_id", V.pooled_query(V.as_double(F.col("vector")), dims, width).alias("vector"))
-    return knn_join(pooled, sketch, depth, metric)
+    """``query_id, rank, id, distance`` of the ``depth`` nearest sketches.
 
+    For cosine, vectors were made unit before they were coded, and every pooled
+    component stands for ``width`` of them.
+    """
+    v = V.as_double(F.col("vector"))
+    if metric == "cosine":
+        pooled = V.pooled_query(V.l2_normalize(v), dims, width)
+        return knn_join(queries.select("query_id", F.transform(pooled, lambda x: x * width).alias("vector")), sketch, depth, "inner")
+    return knn_join(queries.select("query_id", V.pooled_query(v, dims, width).alias("vector")), sketch, depth, metric)
 
-def rerank(queries: DataFrame, corpus: DataFrame, found: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Exact distances of candidate pairs, and the k best."""
+
+def with_extras(found: DataFrame, extras: DataFrame) -> DataFrame:
+    """Candidate pairs of a scan and of elsewhere, each once."""
+    return found.select("query_id", "id").union(extras.select("query_id", "id")).distinct()
+
+
+def recommended_depth(ladder: DataFrame, count: int, goal: float = 0.98) -> DataFrame:
+    """One row ``depth``: the least of ``depth, recall`` that reaches the goal, else all rows."""
+    return ladder.agg(F.coalesce(F.min(F.when(F.col("recall") >= goal, F.col("depth"))), F.lit(count)).alias("depth"))
+
+
+def rerank(queries: DataFrame, corpus: DataFrame, found: DataFrame, k: int | None, metric: str = "l2") -> DataFrame:
+    """Exact distances of candidate pairs, and the k best; with ``None`` every candidate comes back, ranked."""
     q, x = queries.select("query_id", V.as_double(F.col("vector")).alias("qv")), corpus.select("id", V.as_double(F.col("vector")).alias("v"))
     distance = V.l2_distance if metric == "l2" else V.cosine_distance
     pairs = found.select("query_id", "id").distinct().join(x, "id").join(q, "query_id")
     scored = pairs.select("query_id", "id", F.round(distance(F.col("qv"), F.col("v")), 9).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "id", "distance")
 
 
 def recall_by_depth(found: DataFrame, truth: DataFrame, depths: list[int]) -> DataFrame:

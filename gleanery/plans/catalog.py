@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._shared import new_path
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import chunking, knn, lexical, quality, sketch
+from ..operators import calibrate, chunking, encoders, knn, lexical, ordered, quality, sketch
 from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,11 +88,24 @@ def vector_norms(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", F.round(V.norm(V.as_double(F.col("vector"))), 6).alias("norm"), F.size("vector").cast("long").alias("dim"))
 
 
-@query("""SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimension'
-  WHEN list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) = 0 THEN 'norm' ELSE 'ok' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1""")
+SPOILT = """(SELECT vec_id AS id, CASE vec_id % 10 WHEN 1 THEN NULL WHEN 2 THEN v[1:63] WHEN 3 THEN list_prepend('inf'::DOUBLE, v[2:64]) WHEN 4 THEN list_transform(v, lambda x: 0::DOUBLE)
+  WHEN 5 THEN list_prepend(NULL::DOUBLE, v[2:64]) WHEN 6 THEN list_prepend('nan'::DOUBLE, v[2:64]) ELSE v END AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings))"""
+
+
+def spoilt(spark, sf_dir) -> DataFrame:
+    """The vectors, six of ten in a way that validation must see."""
+    v, last = V.as_double(F.col("vector")), F.col("id") % 10
+    head = lambda x: F.concat(F.array(F.lit(x).cast("double")), F.slice(v, 2, 63))
+    bad = F.when(last == 1, F.lit(None)).when(last == 2, F.slice(v, 1, 63)).when(last == 3, head(float("inf"))).when(last == 4, F.transform(v, lambda x: F.lit(0.0)))
+    return corpus(spark, sf_dir).select("id", bad.when(last == 5, head(None)).when(last == 6, head(float("nan"))).otherwise(v).alias("vector"))
+
+
+@query(f"""SELECT CASE WHEN v IS NULL THEN 'missing' WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN 'null_component' WHEN len(v) <> 64 THEN 'dimension'
+  WHEN len(list_filter(v, lambda x: isnan(x) OR isinf(x))) > 0 THEN 'not_finite' WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 'norm' ELSE 'ok' END AS verdict, count(*) AS n FROM {SPOILT} GROUP BY 1""")
 def vector_validate(spark, sf_dir):
-    reason = F.coalesce(V.reject_reason(F.col("vector"), 64), F.lit("ok"))
-    return corpus(spark, sf_dir).groupBy(reason.alias("verdict")).agg(F.count("*").alias("n"))
+    usable, rejected = knn.split_vectors(spoilt(spark, sf_dir), "vector", 64)
+    verdicts = usable.select(F.lit("ok").alias("verdict")).union(rejected.select("reason"))
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 CODE = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -122,10 +135,17 @@ def quantized_search(spark, sf_dir):
  d AS (SELECT query_id, id, round(sqrt(greatest(0, 64 * (ao - bo) * (ao - bo) + 2 * (ao - bo) * (sa * aq - sb * bq) + sa * sa * aq2 + sb * sb * bq2 - 2 * sa * sb * dot)), 6) AS distance FROM p),
  r AS (SELECT *, {RANK} FROM d) {TOP}""")
 def symmetric_distance(spark, sf_dir):
-    # both sides coded: distances between dequantised rows are the closed form over sums of codes
-    x = sketch.quantized(corpus(spark, sf_dir)).select("id", V.dequantize(F.col("q"), F.col("scale"), F.col("offset")).alias("vector"))
-    hits = knn.knn_join(asked(x), x, 40, "l2", self_hits=False).withColumn("distance", F.round("distance", 6))
-    return rounded(knn.top_k(hits.drop("rank"), 10))
+    return coded_pairs(spark, sf_dir, "l2", V.symmetric_l2)
+
+
+def coded_pairs(spark, sf_dir, metric, closed):
+    """The 10 nearest by a closed form over codes, among the 40 nearest dequantised rows."""
+    coded = sketch.quantized(corpus(spark, sf_dir))
+    plain = coded.select("id", V.dequantize(F.col("q"), F.col("scale"), F.col("offset")).alias("vector"))
+    hits = knn.knn_join(asked(plain), plain, 40, metric, self_hits=False).select("query_id", "id")
+    of = lambda key, name: coded.select(F.col("id").alias(key), F.struct("q", "scale", "offset", "sum_q", "sum_q2").alias(name))
+    pairs = hits.join(of("id", "b"), "id").join(of("query_id", "a"), "query_id")
+    return knn.top_k(pairs.select("query_id", "id", F.round(closed(F.col("a"), F.col("b")), 6).alias("distance")), 10)
 
 
 POOL = CODE + """, p AS (SELECT id, scale, off, list_transform(range(0, 32), lambda i: floor((code[2*i+1] + code[2*i+2]) / 2.0 + 0.5)::INTEGER) AS pool FROM c)"""
@@ -187,7 +207,7 @@ TOKS = f"list_filter({TOK}, lambda w: NOT list_contains({STOP}, w))"
 @query(f"SELECT doc_id, coalesce(len({TOK}), 0)::BIGINT AS n_tokens, coalesce(len(list_distinct({TOK})), 0)::BIGINT AS n_terms FROM documents")
 def tokenize_counts(spark, sf_dir):
     tokens = T.lexical_tokens(F.col("text"))
-    return docs(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_terms"))
+    return docs(spark, sf_dir).select(F.col("id").alias("doc_id"), F.coalesce(F.size(tokens), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.size(F.array_distinct(tokens)), F.lit(0)).cast("long").alias("n_terms"))
 
 
 @query(f"SELECT count(*) AS n, sum(len({TOKS}))::BIGINT AS total, round(sum(len({TOKS})) / count(*)::DOUBLE, 6) AS avgdl FROM documents")
@@ -230,24 +250,12 @@ HASHED = """(SELECT id, b, sum(2 * v - 255)::BIGINT AS s FROM (SELECT id, ('0x'
   FROM (SELECT id, sha256(w) AS h FROM (SELECT {id} AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {table}))) GROUP BY 1, 2)"""
 
 
-def hashed(df: DataFrame) -> DataFrame:
-    """``id, b, s``: integer cells of the deterministic hash embedding."""
-    digests = df.select("id", F.explode(T.words(F.lower("text"))).alias("w")).select("id", F.sha2("w", 256).alias("h"))
-    cells = digests.select("id", (T.little_endian_u32(F.col("h")) % 64).alias("b"), (2 * F.conv(F.substring("h", 9, 2), 16, 10).cast("long") - 255).alias("v"))
-    return cells.groupBy("id", "b").agg(F.sum("v").alias("s"))
-
-
 @query("SELECT id AS doc_id, b AS bucket, s AS cell FROM " + HASHED.format(id="doc_id", table="documents"))
 def hash_embedding(spark, sf_dir):
-    return hashed(docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("b").alias("bucket"), F.col("s").alias("cell"))
-
-
-def hash_vectors(df: DataFrame) -> DataFrame:
-    cells = hashed(df).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return cells.select("id", vector.alias("vector")).where(F.exists("vector", lambda x: x != 0))
+    return encoders.hash_cells(docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("b").alias("bucket"), F.col("s").alias("cell"))
 
 
+hash_vectors = encoders.hash_encoder(64)
 VEC = "vd AS (SELECT id, list_transform(range(0, 64), lambda i: coalesce(m[i], 0)::DOUBLE) AS v FROM (SELECT id, map(list(b), list(s)) AS m FROM " + HASHED.format(id="doc_id", table="documents") + " GROUP BY id)), vq AS (SELECT id AS query_id, list_transform(range(0, 64), lambda i: coalesce(m[i], 0)::DOUBLE) AS qv FROM (SELECT id, map(list(b), list(s)) AS m FROM " + HASHED.format(id="item_id", table="benchmark") + f" GROUP BY id)), vh AS (SELECT *, {RANK} FROM (SELECT query_id, id, {COS} AS distance FROM vq, vd WHERE list_dot_product(v, v) > 0))"
 
 
@@ -347,19 +355,29 @@ def page_digest(spark, sf_dir):
 FNV = "list_reduce(list_prepend({}::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((xor(h, c)) * 16777619) % 4294967296)"
 
 
-@query(f"WITH t AS (SELECT DISTINCT unnest({TOK}) AS term FROM documents) SELECT term, {FNV.format(0x811C9DC5, 'term')} AS h0, {FNV.format(0x811C9DC5 ^ 0x9E3779B9, 'term')} AS h1 FROM t")
+@query(f"""WITH t AS (SELECT DISTINCT unnest({TOK}) AS term FROM documents), h AS (SELECT term, {FNV.format(0x811C9DC5, 'term')} AS h0, {FNV.format(0x811C9DC5 ^ 0x9E3779B9, 'term')} AS h1 FROM t)
+ SELECT term, h0, h1, ((CASE WHEN h0 >= 2147483648 THEN h0 - 4294967296 ELSE h0 END) * 4294967296 + h1)::BIGINT AS term_key FROM h""")
 def fnv1a_hash(spark, sf_dir):
     terms = docs(spark, sf_dir).select(F.explode(T.lexical_tokens(F.col("text"))).alias("term")).distinct()
-    return terms.select("term", T.fnv1a(F.col("term")).alias("h0"), T.fnv1a(F.col("term"), 0x9E3779B9).alias("h1"))
+    return terms.select("term", T.fnv1a(F.col("term")).alias("h0"), T.fnv1a(F.col("term"), 0x9E3779B9).alias("h1"), T.term_key(F.col("term")).alias("term_key"))
+
 
+ALL = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')"
 
-@query(f"""WITH v AS (SELECT term FROM (SELECT unnest({TOK}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark)
- SELECT item_id, round(avg(CASE WHEN v.term IS NULL THEN 0.0 ELSE 1.0 END), 6) AS known_frac FROM k LEFT JOIN v USING (term) GROUP BY 1""")
+
+@query(f"""WITH v AS (SELECT term FROM (SELECT unnest({ALL}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 3),
+ z AS (SELECT least(2097152, greatest(16384, pow(2, ceil(log2(32 * greatest(1, count(*)))))))::BIGINT AS bits FROM v),
+ f AS (SELECT DISTINCT unnest([{FNV.format(0x811C9DC5, 'term')} % bits, {FNV.format(0x811C9DC5 ^ 0x9E3779B9, 'term')} % bits]) AS bit FROM v, z),
+ k AS (SELECT item_id, unnest({ALL}) AS term FROM benchmark),
+ p AS (SELECT term, {FNV.format(0x811C9DC5, 'term')} % bits AS b0, {FNV.format(0x811C9DC5 ^ 0x9E3779B9, 'term')} % bits AS b1 FROM (SELECT DISTINCT term FROM k), z)
+ SELECT item_id, round(avg(CASE WHEN b0 IN (SELECT bit FROM f) AND b1 IN (SELECT bit FROM f) THEN 1.0 ELSE 0.0 END), 6) AS known_frac FROM k JOIN p USING (term) GROUP BY 1""")
 def bloom_known_frac(spark, sf_dir):
-    vocabulary = docs(spark, sf_dir).select(F.explode(T.lexical_tokens(F.col("text"))).alias("term")).groupBy("term").count().where("count >= 3")
-    asked_words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.lexical_tokens(F.col("text"))).alias("term"))
-    known = asked_words.join(vocabulary, "term", "left")
-    return known.groupBy("item_id").agg(F.round(F.avg(F.when(F.col("count").isNull(), 0.0).otherwise(1.0)), 6).alias("known_frac"))
+    tokens = docs(spark, sf_dir).select(F.explode(T.all_tokens(F.col("text"))).alias("term"))
+    kept = tokens.groupBy("term").agg(F.count("*").alias("n")).where("n >= 3")
+    bits = T.bloom_bits(kept.count())
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.all_tokens(F.col("text"))).alias("term"))
+    known = calibrate.known_words(words, calibrate.bloom_filter(kept, bits), bits, ["item_id"])
+    return known.groupBy("item_id").agg(F.round(F.avg(F.col("known").cast("double")), 6).alias("known_frac"))
 
 
 SIG = f"""WITH {E}, d AS (SELECT query_id, id, {COS} AS distance FROM q, e WHERE id <> query_id), r AS (SELECT *, {RANK} FROM d),
@@ -383,17 +401,23 @@ def abstain_verdict(spark, sf_dir):
     return _signals(spark, sf_dir).select("query_id", F.round(p, 6).alias("p"), verdict.alias("verdict"))
 
 
-@query(f"""WITH {BM25}, c AS (SELECT item_id AS query_id, unnest(list_filter({TOKS}, lambda w: len(w) >= 3)) AS w FROM benchmark),
- h AS (SELECT query_id, id, unnest(list_distinct({TOK})) AS w FROM lx JOIN documents ON doc_id = id WHERE rank <= 5),
- g AS (SELECT c.query_id, i.id, avg(CASE WHEN h.w IS NULL THEN 0.0 ELSE 1.0 END) AS f FROM c JOIN (SELECT query_id, id FROM lx WHERE rank <= 5) i USING (query_id) LEFT JOIN h ON h.query_id = c.query_id AND h.id = i.id AND h.w = c.w GROUP BY 1, 2)
- SELECT query_id, round(max(f), 6) AS coverage FROM g GROUP BY 1""")
+ASKED = "[" + ", ".join(f"'{w}'" for w in T.QUESTION_WORDS) + "]"
+CONTENT = f"list_filter({ALL}, lambda w: len(w) >= 3 AND NOT list_contains({ASKED}, w))"
+
+
+@query(f"""WITH {BM25}, hit AS (SELECT query_id, id FROM lx WHERE rank <= 5),
+ m AS (SELECT w FROM (SELECT DISTINCT doc_id, unnest({CONTENT}) AS w FROM documents) GROUP BY 1 HAVING count(*) > greatest(4, floor((SELECT count(*) FROM documents) * 0.05::DOUBLE + 0.5::DOUBLE))),
+ c AS (SELECT query_id, w, n * (CASE WHEN w IN (SELECT w FROM m) THEN 1::DOUBLE / 3 ELSE 1::DOUBLE END) AS weight FROM (SELECT item_id AS query_id, w, count(*) AS n FROM (SELECT item_id, unnest({CONTENT}) AS w FROM benchmark) GROUP BY 1, 2)),
+ p AS (SELECT query_id, id, list_distinct({ALL}) AS ws FROM hit JOIN documents ON doc_id = id),
+ g AS (SELECT query_id, id, sum(weight) AS g FROM c JOIN p USING (query_id) WHERE list_contains(ws, w) OR list_contains(ws, w || 's') OR list_contains(ws, w || 'es') OR (w LIKE '%s' AND list_contains(ws, w[:-2])) GROUP BY 1, 2),
+ b AS (SELECT query_id, max(g) AS g FROM g GROUP BY 1), t AS (SELECT query_id, sum(weight) AS total FROM c GROUP BY 1)
+ SELECT query_id, round(coalesce(g, 0) / total, 6) AS coverage FROM t LEFT JOIN b USING (query_id)""")
 def coverage_frac(spark, sf_dir):
-    hits = lexical_hits(spark, sf_dir, 5).select("query_id", "id")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.filter(T.lexical_tokens(F.col("text"), True), lambda w: F.length(w) >= 3)).alias("w"))
-    passages = hits.join(docs(spark, sf_dir), "id").select("query_id", "id", F.explode(F.array_distinct(T.lexical_tokens(F.col("text")))).alias("w"))
-    met = items.join(hits, "query_id").join(passages.withColumn("hit", F.lit(1.0)), ["query_id", "id", "w"], "left")
-    share = met.groupBy("query_id", "id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("f"))
-    return share.groupBy("query_id").agg(F.round(F.max("f"), 6).alias("coverage"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.content_words(F.col("text"))).alias("w"))
+    texts = docs(spark, sf_dir)
+    passages = lexical_hits(spark, sf_dir, 5).select("query_id", "id").join(texts, "id")
+    found = calibrate.coverage(items, passages, calibrate.common_words(texts, texts.count()))
+    return found.select("query_id", F.round("coverage", 6).alias("coverage"))
 
 
 @query("""WITH s AS (SELECT n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)), p AS (SELECT s FROM s WHERE y = 1), m AS (SELECT s FROM s WHERE y = 0)
@@ -416,7 +440,11 @@ def rate_window(spark, sf_dir):
     return live.request_windows(table(spark, sf_dir, "events"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT event_id, user_id, n, true AS accepted, [us] AS held FROM e WHERE n = 1 UNION ALL
+  SELECT e.event_id, e.user_id, e.n, len(list_filter(held, lambda t: us - t < 3600000000)) < 2,
+   CASE WHEN len(list_filter(held, lambda t: us - t < 3600000000)) < 2 THEN list_append(list_filter(held, lambda t: us - t < 3600000000), us) ELSE list_filter(held, lambda t: us - t < 3600000000) END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT event_id, user_id, accepted FROM r""")
 def rate_limit(spark, sf_dir):
     return live.rate_limited(table(spark, sf_dir, "events"), 2, 3_600)
 
@@ -436,11 +464,7 @@ def stream_upsert_compact(spark, sf_dir):
 @query("""SELECT source, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS ids FROM (SELECT source, doc_id, sum(g) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM
  (SELECT source, doc_id, CASE WHEN doc_id - lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) <= 8 THEN 0 ELSE 1 END AS g FROM documents)) GROUP BY source, run""")
 def id_runs(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id")
-    marked = rows.withColumn("g", F.when(F.col("doc_id") - F.lag("doc_id").over(order) <= 8, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("g").over(order)).groupBy("source", "run")
-    return runs.agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("ids")).drop("run")
+    return ordered.runs(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", 8)
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import DATA
 
-from gleanery.plans import catalog
+from gleanery.plans import catalog, catalog_retrieval  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
