@@ -189,6 +189,8 @@ def may_begin(form: str, starts: set[str]) -> bool:
     rest is signs, ends with the mark of a whole word.  Signs that a reading may
     begin with are stripped later, so runs of them are looked past as well.
     """
+    if len(form) > 5 and form.isalpha() and not DOUBLED.search(form[:4]):
+        return form[:3] in starts  # three single letters have one reading
     runs = list(_RUNS.finditer(form))
     for first in range(len(runs)):
         begun = {""}
@@ -203,7 +205,7 @@ def may_begin(form: str, starts: set[str]) -> bool:
 
 def word_features(word: str) -> list[str]:
     """The whole word (marked by its end) and its beginnings."""
-    return [word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)]
+    return [word + "$", *[word[:n] for n in PREFIXES if len(word) >= n]]
 
 
 def text_features(words) -> set[str]:
@@ -425,7 +427,7 @@ class Scorer:
         def hits(token: str) -> tuple[str, ...]:
             # a word without a known beginning of three letters has no known feature but itself
             words = self.restorer.readings(token, starts)
-            return tuple(w for w in words if w + "$" in known or w[:3] in starts and any(f in known for f in word_features(w)))
+            return tuple(w for w in words if (w + "$")[:3] in starts and (w + "$" in known or not known.isdisjoint(word_features(w))))
 
         self.cache = Memo(hits, WORD_BYTES, 180)
 
