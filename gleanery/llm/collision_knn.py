@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 from .._ship import ship
 from .common import row_count
 
-#: Projections, i.e. sorted arrays of a block.
+#: Projections, i.e. sorted arrays of a block.  They come in orthonormal bases: what one says
+#: about a vector none of its basis repeats, which takes far fewer verifications than
+#: independent directions do.
 PROJECTIONS = 128
-#: First half-width of a window, in units of the largest vector norm, and the
+#: First half-width of a window, in standard deviations of the projections, and the
 #: factor of each widening.
-HALF_WIDTH, WIDEN = 0.9, 1.15
+HALF_WIDTH, WIDEN = 1.3, 1.08
 #: A vector is verified once it collides in so large a share of the windows.
-THRESHOLD = 0.55
-#: Windows widen until this share of the block, and k vectors, are verified.
-VERIFIED = 0.3
-#: Rows of one block of vectors and of one block of queries.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+THRESHOLD = 0.78
+#: Windows widen until this share of the block, and so many times k vectors, are verified.
+VERIFIED, VERIFIED_TIMES = 0.03, 8
+#: Rows of one block of vectors and of one block of queries; and rows of a block at least, while
+#: there are fewer blocks than cores.
+BLOCK_ROWS, QUERY_ROWS, LEAST_ROWS = 16_384, 32_768, 2_048
 SEED = 20_240_229
 
 
@@ -53,6 +56,13 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return flat.reshape(len(v), -1)
 
 
+def bases(dim: int, projections: int, seed: int) -> np.ndarray:
+    """``projections`` columns: random orthonormal bases, the last perhaps in part."""
+    rng = np.random.default_rng(seed)
+    turned = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-projections // dim))]
+    return np.concatenate(turned, axis=1)[:, :projections]
+
+
 class CollisionIndex:
     """Sorted single-projection arrays over one block of vectors.
 
@@ -62,41 +72,50 @@ class CollisionIndex:
 
     def __init__(self, x: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
         self.x, (self.n, dim) = x, x.shape
-        norms = np.einsum("ij,ij->i", x, x)
+        scaled = x / np.abs(x).max()  # squares of large components must not overflow
+        norms = np.einsum("ij,ij->i", scaled, scaled)
         self.top = float(norms.max())
-        self.axes = np.random.default_rng(seed).standard_normal((dim + 1, projections))
+        self.axes = bases(dim + 1, projections, seed)
         rest = np.sqrt(np.maximum(self.top - norms, 0))
-        at = x @ self.axes[:dim] + np.outer(rest, self.axes[dim])
-        order = np.argsort(at, axis=0, kind="stable").T
-        self.values = np.take_along_axis(at.T, order, 1)
+        at = scaled @ self.axes[:dim] + np.outer(rest, self.axes[dim])
+        self.unit = float(at.std()) or 1.0
+        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(at.T, self.order, 1)
         # a vector's position in each sorted array: it is in a window if that lies between the window's ends
-        self.place = np.empty(order.shape, np.uint16 if self.n < 1 << 16 else np.uint32)
-        np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None, :], 1)
-        self.unit = np.sqrt(self.top)
+        self.place = np.empty(self.order.shape, np.uint16 if self.n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=self.place.dtype)[None, :], 1)
+
+    def _ends(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        low = np.array([v.searchsorted(c - half) for v, c in zip(self.values, centre)])
+        return low, np.array([v.searchsorted(c + half, "right") for v, c in zip(self.values, centre)])
 
     def candidates(self, queries: np.ndarray, least: int, half_width: float, widen: float, threshold: float, ids: np.ndarray | None = None, least_ids: int = 0):
         """For each query, the rows that collide often enough.
 
         At least ``least`` rows, and with ``ids``, where some repeat, rows of ``least_ids`` ids.
         """
+        queries = queries / np.maximum(np.abs(queries).max(axis=1, keepdims=True), 1e-300)
         scale = np.sqrt(self.top) / np.maximum(np.sqrt(np.einsum("ij,ij->i", queries, queries)), 1e-300)
         centres = (queries * scale[:, None]) @ self.axes[:-1]  # scaling a query leaves its order alone
-        m, need = len(self.values), int(np.ceil(threshold * len(self.values)))
-        kind, total = self.place.dtype, np.uint8 if m < 256 else np.uint16
+        m, need, kind = len(self.values), int(np.ceil(threshold * len(self.values))), self.place.dtype
         for centre in centres:
             half = half_width * self.unit
+            low, high = self._ends(centre, half)
+            # unsigned: positions before a window wrap round and are too large as well
+            inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
+            counts = inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint16).astype(np.int32)
             while True:
-                low = np.array([v.searchsorted(c - half) for v, c in zip(self.values, centre)])
-                high = np.array([v.searchsorted(c + half, "right") for v, c in zip(self.values, centre)])
-                # unsigned: positions before a window wrap round and are too large as well
-                inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
-                counts = inside.view(np.uint8).sum(axis=0, dtype=total)
                 found = np.flatnonzero(counts >= need)
                 enough = len(found) >= least and (ids is None or len(np.unique(ids[found])) >= least_ids)
                 if enough or int((high - low).sum()) == m * self.n:
                     yield found
                     break
                 half *= widen
+                wider_low, wider_high = self._ends(centre, half)
+                # rehashing is virtual: only what the windows newly cover is counted
+                new = [o[a:b] for o, a, b in zip(self.order, wider_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, wider_high)]
+                counts += np.bincount(np.concatenate(new), minlength=self.n).astype(np.int32)
+                low, high = wider_low, wider_high
 
 
 def collision_knn(
@@ -117,16 +136,19 @@ def collision_knn(
     smaller id and a query's own id never answers it.  With at most k candidates
     all of them come back.  Rows outside ``usable`` take no part; an id that
     occurs on several rows counts as one vector with its best score; vectors of
-    another dimension than the query's are not compared with it; empty tables
+    another dimension than the query's are not compared with it; a score that
+    overflows ranks as it compares, one that is no number comes last; empty tables
     give no rows; other columns are not read.
 
     Blocks of queries meet blocks of vectors, each pair in a task of its own: a
     task holds one block of either side whatever the size of the tables, and no
-    key can be hot because blocks come from a hash of the id.
+    key can be hot because blocks come from a hash of the id.  A pair's index is
+    made in its task, which costs less than a hundredth of a full block of queries.
     """
     ship(vectors.sparkSession)
     x, q = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id")
-    blocks = max(1, -(-row_count(vectors) // BLOCK_ROWS))
+    rows, cores = row_count(vectors), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-rows // BLOCK_ROWS), min(cores, rows // LEAST_ROWS))
     query_blocks = max(1, -(-row_count(queries) // QUERY_ROWS))
 
     def pairs(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: str) -> DataFrame:
@@ -143,10 +165,12 @@ def collision_knn(
             ids, query_ids = block.column("vec_id").to_numpy(), queries_of.column("query_id").to_numpy()
             index, qs = CollisionIndex(_matrix(block), projections), _matrix(queries_of)
             repeated = len(np.unique(ids)) < len(ids)
-            least = max(k + 1, int(np.ceil(verified * index.n)))
+            least = min(index.n, max(VERIFIED_TIMES * (k + 1), int(np.ceil(verified * index.n))))
             for query_id, query, found in zip(query_ids, qs, index.candidates(qs, least, half_width, widen, threshold, ids if repeated else None, k + 1)):
                 found = found[ids[found] != query_id]
-                score = np.einsum("ij,j->i", index.x[found], query)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.einsum("ij,j->i", index.x[found], query)
+                score = np.where(np.isnan(score), -np.inf, score)
                 near = ids[found]
                 if repeated:  # the best row of each id, so that the cut counts ids
                     order = np.lexsort((-score, near))
