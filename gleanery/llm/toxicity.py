@@ -182,6 +182,17 @@ def viterbi(word: str, model, breaks: bool = False) -> str:
     return min(text(chain) for cost, chain in ends if cost == least)
 
 
+def may_count(form: str, known: set[str]) -> bool:
+    """Whether some reading of a form of letters has a feature of ``known``; true as well where there are too many readings to try."""
+    begun = {""}
+    for run in _RUNS.finditer(form):
+        char, n = run.group()[0], len(run.group())
+        begun = {b + char for b in begun} if n == 1 else {b + reading for b in begun for reading in (char, char * 2)}
+        if len(begun) > 64:
+            return True
+    return any(not known.isdisjoint(word_features(b)) for b in begun)
+
+
 def may_begin(form: str, starts: set[str]) -> bool:
     """Whether some reading of a form, stripped of signs at its ends or not, begins with three characters of ``starts``.
 
@@ -229,11 +240,11 @@ class Restorer:
         """The likeliest reading."""
         return (self.broken if breaks else self.whole)[form]
 
-    def readings(self, token: str, starts: set[str] | None = None) -> list[str]:
+    def readings(self, token: str, starts: set[str] | None = None, known: set[str] | None = None) -> list[str]:
         """The plain word of a white-space token, then what it may disguise.
 
-        With ``starts`` (of known features) forms are left undecoded of which no
-        reading, however unlikely, begins as a known feature does.
+        With ``known`` features and their ``starts`` forms are left undecoded of which
+        no reading, however unlikely, can have a known feature.
         """
         plain = token.strip(STRIP)
         edged = token.strip(EDGES)
@@ -245,7 +256,7 @@ class Restorer:
         if core != plain and core.strip(STRIP).isalpha() and core.strip(STRIP) != plain:
             words.append(core.strip(STRIP))
         for form in dict.fromkeys((core, INNER.sub("", core), edged)):
-            if len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)) and (starts is None or may_begin(form, starts)):
+            if len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)) and (starts is None or may_begin(form, starts) and (not form.isalpha() or may_count(form, known))):
                 word = self.decoded(form)
                 # symbols left as they are at the ends are no part of the word
                 words += [w for w in dict.fromkeys((word, word.strip(STRIP)) if form != edged else (word.strip(STRIP),)) if w and w not in words]
@@ -426,7 +437,7 @@ class Scorer:
 
         def hits(token: str) -> tuple[str, ...]:
             # a word without a known beginning of three letters has no known feature but itself
-            words = self.restorer.readings(token, starts)
+            words = self.restorer.readings(token, starts, known)
             return tuple(w for w in words if (w + "$")[:3] in starts and (w + "$" in known or not known.isdisjoint(word_features(w))))
 
         self.cache = Memo(hits, WORD_BYTES, 180)
