@@ -68,8 +68,9 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id
     Returns ``key``, ``n_prompt_turns``, ``prompt``, and for either side its
     ``completion`` and ``loss`` spans (``start:end``, counted in the completion).
     Keys that only one side has, and null keys, give no row; where both sides are
-    equal both completions are empty.  A conversation is one output row, so its
-    turns meet in one task; nothing larger does.
+    equal both completions are empty; an empty table gives no rows.  Turns of any
+    length are kept whole.  A conversation is one output row, so its turns meet in
+    one task; nothing larger does.
     """
     c, r = turn_list(chosen, key).withColumnRenamed("turns", "c"), turn_list(rejected, key).withColumnRenamed("turns", "r")
     both = c.join(r, "key").withColumn("n", common_prefix(F.col("c"), F.col("r")))

@@ -20,14 +20,14 @@ from .common import row_count
 #: Projections, i.e. sorted arrays of a block.  They come in orthonormal bases: what one says
 #: about a vector none of its basis repeats, which takes far fewer verifications than
 #: independent directions do.
-PROJECTIONS = 128
+PROJECTIONS = 64
 #: First half-width of a window, in standard deviations of the projections, and the
 #: factor of each widening.
-HALF_WIDTH, WIDEN = 1.3, 1.08
+HALF_WIDTH, WIDEN = 1.5, 1.1
 #: A vector is verified once it collides in so large a share of the windows.
-THRESHOLD = 0.78
+THRESHOLD = 0.76
 #: Windows widen until this share of the block, and so many times k vectors, are verified.
-VERIFIED, VERIFIED_TIMES = 0.03, 8
+VERIFIED, VERIFIED_TIMES = 0.1, 20
 #: Rows of one block of vectors and of one block of queries; and rows of a block at least, while
 #: there are fewer blocks than cores.
 BLOCK_ROWS, QUERY_ROWS, LEAST_ROWS = 16_384, 32_768, 2_048
@@ -85,9 +85,10 @@ class CollisionIndex:
         self.place = np.empty(self.order.shape, np.uint16 if self.n < 1 << 16 else np.uint32)
         np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=self.place.dtype)[None, :], 1)
 
-    def _ends(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        low = np.array([v.searchsorted(c - half) for v, c in zip(self.values, centre)])
-        return low, np.array([v.searchsorted(c + half, "right") for v, c in zip(self.values, centre)])
+    def _ends(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (queries x projections) as ranges of the sorted arrays."""
+        low = np.stack([v.searchsorted(c - half) for v, c in zip(self.values, centres.T)], axis=1)
+        return low, np.stack([v.searchsorted(c + half, "right") for v, c in zip(self.values, centres.T)], axis=1)
 
     def candidates(self, queries: np.ndarray, least: int, half_width: float, widen: float, threshold: float, ids: np.ndarray | None = None, least_ids: int = 0):
         """For each query, the rows that collide often enough.
@@ -98,12 +99,12 @@ class CollisionIndex:
         scale = np.sqrt(self.top) / np.maximum(np.sqrt(np.einsum("ij,ij->i", queries, queries)), 1e-300)
         centres = (queries * scale[:, None]) @ self.axes[:-1]  # scaling a query leaves its order alone
         m, need, kind = len(self.values), int(np.ceil(threshold * len(self.values))), self.place.dtype
-        for centre in centres:
+        lows, highs = self._ends(centres, half_width * self.unit)
+        for centre, low, high in zip(centres, lows, highs):
             half = half_width * self.unit
-            low, high = self._ends(centre, half)
             # unsigned: positions before a window wrap round and are too large as well
             inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
-            counts = inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint16).astype(np.int32)
+            counts = inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint16)
             while True:
                 found = np.flatnonzero(counts >= need)
                 enough = len(found) >= least and (ids is None or len(np.unique(ids[found])) >= least_ids)
@@ -111,10 +112,10 @@ class CollisionIndex:
                     yield found
                     break
                 half *= widen
-                wider_low, wider_high = self._ends(centre, half)
+                wider_low, wider_high = (e[0] for e in self._ends(centre[None, :], half))
                 # rehashing is virtual: only what the windows newly cover is counted
                 new = [o[a:b] for o, a, b in zip(self.order, wider_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, wider_high)]
-                counts += np.bincount(np.concatenate(new), minlength=self.n).astype(np.int32)
+                counts = counts + np.bincount(np.concatenate(new), minlength=self.n).astype(counts.dtype)
                 low, high = wider_low, wider_high
 
 
