@@ -25,7 +25,7 @@ from gleanery.llm.packing import ByteLevelEncoder, SumOfSquares, pack
 from gleanery.llm.shingle_sets import keep_one, similar_groups
 from gleanery.llm.simhash_dedup import exact_masks, majority, near_rows, pivot_table, shingle_hashes, simhash_groups
 from gleanery.llm.token_counts import WordPieceCounter, token_counts
-from gleanery.llm.toxicity import STRIP, Scorer, lattice, may_begin, reject_toxic, toxicity, train, trigram_counts, viterbi
+from gleanery.llm.toxicity import STRIP, Scorer, lattice, may_begin, may_count, reject_toxic, toxicity, train, trigram_counts, viterbi, word_features
 
 WS = " \t\n\x0b\x0c\r"
 LONG = ("Some Words of a long text\n\tthat goes on, über and über.\n" * 4000) + "end"
@@ -155,6 +155,66 @@ def test_collision_knn_counts_ids_not_rows(spark):
     assert len({r["vec_id"] for r in rows(collision_knn(df, query, 20))}) == 20
 
 
+def unit_rows(n, dim, seed):
+    x = np.random.default_rng(seed).standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_windows_expand_as_counted_afresh():
+    from gleanery.llm.collision_knn import CollisionIndex
+
+    x = unit_rows(700, 12, 4) * np.random.default_rng(5).uniform(0.2, 3, (700, 1))
+    index = CollisionIndex(x, 40)
+    assert np.allclose(index.axes[:, :13].T @ index.axes[:, :13], np.eye(13))
+    scaled = x / np.abs(x).max()
+    at = scaled @ index.axes[:-1] + np.outer(np.sqrt(np.maximum(index.top - (scaled**2).sum(1), 0)), index.axes[-1])
+    for query, found in zip(x[:20], index.candidates(x[:20], 90, 0.3, 1.1, 0.7)):
+        centre = (query * np.sqrt(index.top) / np.linalg.norm(query)) @ index.axes[:-1]
+        half = 0.3 * index.unit
+        while len(want := np.flatnonzero((np.abs(at - centre) <= half).sum(1) >= np.ceil(0.7 * 40))) < 90:
+            half *= 1.1
+        assert found.tolist() == want.tolist()
+
+
+def test_collision_recall_of_a_full_block():
+    from gleanery.llm import collision_knn as C
+
+    x = unit_rows(C.BLOCK_ROWS, 64, 6)  # nothing but noise: the hardest neighbours
+    index, hit, share = C.CollisionIndex(x), 0, 0
+    queries = x[:40]
+    least = max(C.VERIFIED_TIMES * 21, int(np.ceil(C.VERIFIED * len(x))))
+    for i, found in enumerate(index.candidates(queries, least, C.HALF_WIDTH, C.WIDEN, C.THRESHOLD)):
+        near = [j for j in np.argsort(-(x @ queries[i]), kind="stable") if j != i][:20]
+        hit += len(set(near) & set(found))
+        share += len(found) / len(x)
+    assert hit / 800 >= 0.9 and share / 40 < 0.25
+
+
+def test_collision_knn_over_several_blocks(spark, monkeypatch):
+    import gleanery.llm.collision_knn as C
+
+    for name, value in (("BLOCK_ROWS", 1_000), ("QUERY_ROWS", 40), ("LEAST_ROWS", 500)):
+        monkeypatch.setattr(C, name, value)
+    x = unit_rows(4_000, 32, 7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in rows(collision_knn(df, df.where("vec_id % 40 = 0"), 20)):
+        got[r["query_id"]].append(r["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        near = [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:20]
+        assert len(set(found)) == 20
+        hit += len(set(near) & set(found))
+    assert len(got) == 100 and hit / 2_000 >= 0.9
+
+
+def test_collision_knn_with_huge_components(spark):
+    table = [(0, [1e160, 0.0, 1.0]), (1, [1e160, 1e150, 0.0]), (2, [-1e160, 3.0, 0.0]), (3, [1.0, 1.0, 1.0]), (4, [1e-170, 0.0, 0.0])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in rows(collision_knn(df, df.where("vec_id in (0, 3)"), 4))}
+    assert [got[0, i] for i in range(1, 5)] == [1, 3, 4, 2] and [got[3, i] for i in range(1, 5)] == [1, 0, 4, 2]
+
+
 # 3 SimHash
 def brute_print(text, k=4):
     w = [x for x in regex.split("[\\x20\\x09-\\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if x]
@@ -311,6 +371,19 @@ def test_chat_pairs(spark):
     assert preference_pairs(spark.createDataFrame([], schema), spark.createDataFrame(r, schema)).count() == 0
 
 
+def test_chat_pairs_with_clashing_columns_and_long_turns(spark):
+    long = "word " * 40_000
+    schema = "conv_id long, turn int, role string, text string, key string, turns string, c string, r string, n string"
+    make = lambda data: spark.createDataFrame([(*d, "x", None, "x", "x", None) for d in data], schema)
+    c = make([(1, 0, "user", long), (1, 1, "assistant", long + "a"), (2, None, "user", ""), (2, None, "user", "")])
+    r = make([(1, 0, "user", long), (1, 1, "assistant", long + "b"), (2, None, "user", None)])
+    got = {x["conv_id"]: x for x in rows(preference_pairs(c, r))}
+    assert got[1]["prompt"].count("word") == 40_000 and got[1]["chosen"].endswith("a<|im_end|>\n") and got[1]["rejected"].endswith("b<|im_end|>\n")
+    assert got[1]["chosen_loss"] == f"{len('<|im_start|>assistant' + chr(10))}:{len(got[1]['chosen'])}"
+    assert got[2]["n_prompt_turns"] == 1 and got[2]["chosen"] == got[2]["rejected"] == ""
+    assert preference_pairs(c.where("false"), r.where("false")).count() == 0
+
+
 def oracle(name, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -501,6 +574,43 @@ def test_bpe_random_texts_and_boundaries():
         assert encoder._merge_long(list(symbols)) == plain
 
 
+def test_bpe_cuts_texts_at_special_tokens():
+    encoder = ForcedBoundaryBPE(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.native
+    rng = np.random.default_rng(18)
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<", "|>", "a", " ", "é", "The", "\n", "42", "!"]
+    for _ in range(600):
+        text = "".join(rng.choice(signs, rng.integers(0, 10)))
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == (len(ids), " ".join(map(str, ids)), encoder.tokenizer.decode(ids, skip_special_tokens=False)), repr(text)
+
+
+def test_native_merging_equals_the_merge_list():
+    encoder = ForcedBoundaryBPE(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(19)
+    for _ in range(2_000):
+        fragment = bytes(rng.choice(list(b"aehinstroul\xc3\xa9"), int(rng.integers(1, 30)))) + rng.choice([b"", b"\xff"])
+        body, mark = (fragment[:-1], encoder.suffix) if fragment.endswith(b"\xff") else (fragment, "")
+        if not body:
+            continue
+        want = encoder.merge(encoder.symbols("".join(encoder.characters[b] for b in body) + mark))
+        assert encoder._fragment(bytes(fragment))[1] == " ".join(map(str, want))
+
+
+def test_memo_is_bounded_and_keeps_what_is_asked_for():
+    from gleanery.llm.common import Memo
+
+    calls = Counter()
+    memo = Memo(lambda k: calls.update([k]) or len(k), 2_000, 100, 1)
+    for i in range(500):
+        assert memo["often"] == 5 and memo[f"k{i}"] == len(f"k{i}")
+        assert len(memo) + len(memo.old) <= 20
+    assert calls["often"] == 1
+    assert memo["x" * 5_000] == 5_000 and "x" * 5_000 not in memo
+    memo.remember({f"r{i}": i for i in range(5)})
+    assert memo["r3"] == 3
+
+
 # 8 line dedup
 def brute_lines(docs, min_docs=2):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(WS))
@@ -690,6 +800,11 @@ def test_forms_are_left_undecoded_only_where_no_reading_can_count():
         for starts in ({str(b)} for b in begins):
             assert may_begin(form, starts), (form, starts)
     assert not may_begin("ellement", {"stu"}) and may_begin("sstupid", {"stu"})
+    for _ in range(400):
+        form = "".join(rng.choice(list("aabs"), int(rng.integers(3, 11))))
+        for reading in {"".join(r for r, _ in path) for path in product(*lattice(form))}:
+            assert all(may_count(form, {f}) for f in word_features(reading)), (form, reading)
+    assert may_count("stuupid", {"stupid$"}) and not may_count("stuupid", {"stupe", "pid", "stu$"}) and may_count("aabb" * 20, {"x"})
 
 
 def test_trigrams_equal_a_plain_count(spark):
