@@ -28,7 +28,7 @@ def odd(spark):
 @pytest.fixture(scope="module")
 def odd_dir(spark, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('odd')}"
-    spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, None, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, None, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
