@@ -23,7 +23,7 @@ CAPACITY, END = 1_024, 2
 #: Documents of one packer.  A packer leaves some bins open, so more packers waste more.
 PACKER_DOCS = 100_000
 #: Bytes of chunks and their ids that one Python worker remembers.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 224 << 20
 
 # White space as the tokenizer's patterns know it.
 WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
