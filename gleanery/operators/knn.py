@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ..errors import GleaneryError, check_metric, check_range
+from ..errors import GleaneryError, check_metric, check_one_of, check_range
 from ..functions import vector as V
 
 #: Queries, and bytes of them, that are sent to every task, at most; and rows of a block beyond.
@@ -86,20 +86,23 @@ class Nearest:
         return {"query_id": self.query_ids[place], "id": ids, "distance": distance}
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", self_hits: bool = True) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", self_hits: bool = True, impl: str = "auto") -> DataFrame:
     """``query_id, rank, id, distance`` of each query's k nearest, ties to the smaller id.
 
     ``queries``: ``query_id, vector``; ``corpus``: ``id, vector``; both validated and
     of one dimension.  L2 distances are square-rooted.  With k = 0 there are no
-    rows; with k beyond the corpus all of it comes back.
+    rows; with k beyond the corpus all of it comes back.  ``impl`` (auto, sent or
+    blocks) chooses the plan and never the result; queries too large to be sent are
+    searched in blocks whatever it says.
     """
+    check_one_of("impl", impl, ("auto", "sent", "blocks"))
     check_range("k", k, 0, 1 << 20)
     check_metric(metric, "inner")  # inner: one minus the clamped product, nothing is made unit
     spark = corpus.sparkSession
     ship(spark)
     q, x = queries.select("query_id", V.as_double(F.col("vector")).alias("v")), corpus.select("id", V.as_double(F.col("vector")).alias("v"))
     head = q.limit(SENT_QUERIES + 1).toArrow()
-    if head.num_rows <= SENT_QUERIES and head.nbytes <= SENT_BYTES:
+    if impl != "blocks" and head.num_rows <= SENT_QUERIES and head.nbytes <= SENT_BYTES:
         query_ids, matrix = head.column("query_id").to_numpy(), _matrix(head.column("v"))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

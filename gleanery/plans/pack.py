@@ -10,9 +10,10 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .._shared import shared_table
 from ..errors import GleaneryError, check_metric, check_one_of, check_range
 from ..functions import text as T
 from ..functions import vector as V
@@ -257,6 +258,86 @@ class Pack:
         return "no-tests" if not found["n"] else "pass" if found["passed"] == found["n"] else "fail"
 
 
+#: Probe questions of each kind, made-up questions, and neighbours that signals are read from.
+PROBES, GIBBERISH, PROBE_K = 48, 24, 10
+FRAMES = ("", "what is known about ", "which ", "is anything said about ")
+
+
+def _by_hash(df: DataFrame, columns: list[str], seed: int, most: int) -> DataFrame:
+    return df.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(most)
+
+
+def _gibberish(n: int, seed: int) -> list[tuple[str]]:
+    draw = C.Sequence(seed)
+    pick = lambda low, span: low + min(span - 1, int(draw.next() * span))
+    word = lambda: "".join("abcdefghijklmnopqrstuvwxyz"[pick(0, 26)] for _ in range(pick(5, 6)))
+    return [(" ".join(word() for _ in range(pick(3, 4))),) for _ in range(n)]
+
+
+def probes(pack: Pack, seed: int = 0x51F15E) -> DataFrame:
+    """``text, source_id, source_title, kind, gibberish``: questions of known answerability, bounded in number.
+
+    Positives ask for titles and for words of retained records.  Easy negatives are
+    made-up words; hard ones ask for records that are held out, or mix rare words of
+    two records that no record holds together.
+    """
+    records = pack.tables["records"]
+    title = F.btrim(F.coalesce(F.col("title"), F.lit(""))) if "title" in records.columns else F.lit("")
+    held = C.hold_out_titles(records.select("id", "text", title.alias("title")))
+    kept, out = held.where("not held_out"), held.where("held_out")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def shaped(df: DataFrame, text, kind: str, source_id=None, source_title=None) -> DataFrame:
+        source_id = none("long") if source_id is None else F.col(source_id)
+        source_title = none("string") if source_title is None else F.col(source_title)
+        return df.select(text.alias("text"), source_id.alias("source_id"), source_title.alias("source_title"), F.lit(kind).alias("kind"), F.lit(False).alias("gibberish"))
+
+    frame = F.element_at(F.array(*map(F.lit, FRAMES)), (F.pmod(F.xxhash64("id"), F.lit(len(FRAMES))) + 1).cast("int"))
+    words = F.array_distinct(F.filter(T.content_words(F.col("text")), lambda w: F.length(w) >= 4))
+    some = lambda df, n, s: _by_hash(df.select("id", "title", words.alias("w")).where(F.size("w") >= 3), ["id"], s, n)
+    asked = F.concat(frame, F.array_join(F.slice("w", 1 + F.pmod(F.xxhash64("id", F.lit(2)), F.size("w") - 2).cast("int"), 3), " "))
+    by_title = _by_hash(kept.where("title <> ''").select("title").distinct(), ["title"], seed, PROBES)
+    positives = shaped(by_title, F.concat(F.lit("what is "), F.lower("title")), "positive", source_title="title").union(shaped(some(kept, PROBES, seed + 1), asked, "positive", source_id="id"))
+    hard = shaped(some(out, PROBES // 2, seed + 2), asked, "hard")
+    rare = some(kept, 2 * PROBES, seed + 3).select("id", "title", F.explode("w").alias("term")).join(pack.tables["terms"], "term").where(F.col("df") <= max(2, round(0.05 * pack.config["records"])))
+    two = rare.groupBy("id", "title").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]), 1, 2).alias("w")).where("size(w) = 2")
+    numbered = lambda s, n: two.select("title", "w", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(s)), "id")).alias("n")).toDF(f"t{n}", f"w{n}", "n")  # noqa: E731  a bounded number of rows
+    mixed = numbered(5, "a").join(numbered(6, "b"), "n").where("ta <> tb").select(F.array_distinct(F.concat("wa", "wb")).alias("w")).where("size(w) = 4")
+    mixed = mixed.withColumn("m", F.array_join("w", " "))
+    together = mixed.select("m", F.explode("w").alias("term")).join(pack.tables["postings"], "term").groupBy("m", "id").agg(F.count("*").alias("n")).where("n >= 3").select("m").distinct()
+    text = F.array_join(F.array(*(F.get("w", i) for i in (0, 2, 1, 3))), " ")
+    mixed = shaped(_by_hash(mixed.join(together, "m", "left_anti"), ["m"], seed + 4, PROBES // 2), text, "hard")
+    made_up = pack.spark.createDataFrame(_gibberish(GIBBERISH, seed), "text string")
+    easy = shaped(made_up, F.col("text"), "easy").withColumn("gibberish", F.lit(True))
+    return positives.union(hard).union(mixed).union(easy).dropDuplicates(["text"])
+
+
+def calibrated(pack: Pack, encoder: Encoder) -> C.Calibration | None:
+    """An abstention model of a pack from probe questions, or None where they can't be told apart.
+
+    All searches leave out the held-out titles.  A positive counts only where its
+    source is found; a negative that comes nearer than the middle positive is
+    doubtful and leaves the fit.
+    """
+    asked = shared_table(probes(pack).withColumn("query_id", F.xxhash64("text")), "probes")
+    records = pack.tables["records"]
+    title = F.btrim(F.coalesce(F.col("title"), F.lit(""))) if "title" in records.columns else F.lit("")
+    titles = records.select("id", title.alias("title"))
+    kept = C.hold_out_titles(titles).where("not held_out").select("id")
+    vectors = encoder(asked.select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
+    hits = shared_table(knn.knn_join(vectors, pack.tables["vectors"].select("id", "vector").join(kept, "id", "left_semi"), PROBE_K, pack.config["metric"]), "probe-hits")
+    source = hits.join(titles, "id").join(asked.select("query_id", "source_id", "source_title"), "query_id")
+    found = source.groupBy("query_id").agg(F.max(F.coalesce(F.col("id") == F.col("source_id"), F.lit(False)) | F.coalesce(F.col("title") == F.col("source_title"), F.lit(False))).alias("found"))
+    rows = pack.signals(asked, hits).join(asked.select("query_id", "text", "kind", "gibberish"), "query_id").join(found, "query_id", "left")
+    rows = shared_table(rows.where("kind <> 'positive' or coalesce(found, false)"), "probe-signals")
+    middle = quality.floor_quantile(rows.where("kind = 'positive'").select(F.lit(1).alias("g"), "d0"), "g", "d0", 0.5, "d0").first()
+    if middle is None:
+        return None
+    near = (F.col("kind") == "hard") & (F.col("d0") <= middle["d0"]) & (F.col("coverage") >= 0.5)
+    label = F.when(F.col("kind") == "positive", 1).when(near, -1).otherwise(0)
+    return C.calibrate(rows.withColumn("label", label).withColumn("kind", F.when(near, "weak").otherwise(F.col("kind"))))
+
+
 def fused(near: DataFrame, words: DataFrame, k: int) -> DataFrame:
     """Reciprocal ranks of distances, plus those of lexical hits that are among them; ties to the nearer."""
     part = lambda c: F.lit(1.0) / (F.lit(lexical.RRF) + c - 1)

@@ -49,7 +49,7 @@ def found(df):
 def test_exact_join_by_sent_queries_and_by_blocks(cloud, monkeypatch):
     x, q, corpus, queries = cloud
     want = brute(q, x, 10)
-    assert found(knn.knn_join(queries, corpus, 10)) == want
+    assert found(knn.knn_join(queries, corpus, 10)) == found(knn.knn_join(queries, corpus, 10, impl="blocks")) == want
     monkeypatch.setattr(knn, "SENT_BYTES", 100)
     monkeypatch.setattr(knn, "BLOCK_ROWS", 50)
     monkeypatch.setattr(knn, "QUERY_ROWS", 7)
@@ -530,6 +530,20 @@ def test_pack_abstains_and_reports_depth(spark, library, tmp_path):
         pack.coarse(encoded, 10, "m")
 
 
+def test_pack_calibrates_itself(spark, library):
+    path, identity, encode, _, _ = library
+    pack = P.Pack(spark, path, identity)
+    asked = rows(P.probes(pack))
+    kinds = Counter(r["kind"] for r in asked)
+    assert kinds["positive"] >= 20 and kinds["easy"] == P.GIBBERISH and kinds["hard"] >= 3 and len({r["text"] for r in asked}) == len(asked)
+    assert all(r["gibberish"] == (r["kind"] == "easy") for r in asked)
+    model = P.calibrated(pack, encode)
+    if model is not None:  # else the probes of so small a library can't be told apart
+        assert model.report["auc"] >= calibrate.LEAST_AUC and 0 < model.hard < model.weak <= 0.95
+        nonsense = spark.createDataFrame([(i, t) for i, (t,) in enumerate(P._gibberish(8, 99))], "query_id long, text string")
+        assert pack.query(nonsense, 3, encoder=encode, model=model).count() == 0
+
+
 def test_damaged_packs_are_seen(spark, library, tmp_path):
     path, identity, encode, _, _ = library
     pack = P.Pack(spark, path, identity)
