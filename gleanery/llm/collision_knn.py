@@ -144,7 +144,7 @@ def collision_knn(
     Blocks of queries meet blocks of vectors, each pair in a task of its own: a
     task holds one block of either side whatever the size of the tables, and no
     key can be hot because blocks come from a hash of the id.  A pair's index is
-    made in its task, which costs less than a hundredth of a full block of queries.
+    made in its task, a few per cent of the time of a full block of queries.
     """
     ship(vectors.sparkSession)
     x, q = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id")
