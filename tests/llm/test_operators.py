@@ -354,6 +354,52 @@ def test_near_stage_links_similar_documents_and_no_others(spark, monkeypatch):
     assert kept == Counter([None, *(i for i, c in want.items() if i == c)])
 
 
+def test_near_copies_of_one_family_are_not_all_compared(spark, monkeypatch):
+    import gleanery.llm.shingle_sets as S
+
+    compared, table = [], S.shared_table
+
+    def counted(df, label):
+        out = table(df, label)
+        compared.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(S, "shared_table", counted)
+    rng = np.random.default_rng(21)
+    line, docs = [f"f{i}" for i in range(300)], []
+    for i in range(240):  # one run of words is another: about half of all pairs are similar
+        n = int(rng.integers(4, 23))
+        at = int(rng.integers(0, 300 - n))
+        docs.append((i, " ".join([*line[:at], *(f"r{i}x{j}" for j in range(n)), *line[at + n :]])))
+    got = rows(similar_groups(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_similar(docs)
+    assert sum(compared) < 16 * len(docs)
+
+
+def test_parity_maps_never_differ_by_more_than_sets():
+    from gleanery.llm.shingle_sets import maps_differ, parity_map
+
+    rng = np.random.default_rng(22)
+    for n, m in ((0, 0), (0, 3), (100, 130), (127, 129), (5000, 6000), (9000, 8000)):
+        common = rng.integers(0, 2**64, min(n, m), dtype=np.uint64)[: min(n, m) * 9 // 10]
+        a, b = (np.unique(np.concatenate((common, rng.integers(0, 2**64, k - len(common), dtype=np.uint64)))) for k in (n, m))
+        differ = len(np.setxor1d(a, b))
+        assert maps_differ(parity_map(a), parity_map(b)) == maps_differ(parity_map(b), parity_map(a)) <= differ
+        assert maps_differ(parity_map(a), parity_map(a)) == 0
+    long = [np.unique(rng.integers(0, 2**64, 6000, dtype=np.uint64)) for _ in range(2)]
+    assert maps_differ(*map(parity_map, long)) > 12_000 / 9  # unlike long sets are told apart without their elements
+
+
+def test_sets_are_read_at_wanted_places_only(spark, monkeypatch):
+    import gleanery.llm.shingle_sets as S
+
+    monkeypatch.setattr(S, "MAP_ROWS", 16)
+    df = spark.createDataFrame([(f, i, f"{f} {i}") for f in "ab" for i in range(50)], "row_file string, row_at long, text string")
+    want = [(7, "a", 0), (8, "a", 15), (9, "a", 16), (10, "a", 49), (11, "b", 31)]
+    got = rows(S._sets(df, spark.createDataFrame(want, "node long, row_file string, row_at long"), 5))
+    assert {r["node"]: bytes(r["elements"]) for r in got} == {n: S.shingle_set(f"{f} {i}".encode(), 5).tobytes() for n, f, i in want} and len(got) == 5
+
+
 # 4 chat formatting
 def test_chat_pairs(spark):
     c = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "good"), (1, 3, "user", "more"), (1, 4, "assistant", "fine"), (2, 0, "user", "x"), (3, 0, "user", None), (None, 0, "user", "n"), (5, 0, "user", "only chosen")]
