@@ -1,5 +1,9 @@
 """Near-duplicate groups by the Jaccard similarity of word shingle sets, exactly.
 
+SimHash proposes: sets whose fingerprints are near, by pivot distance tables, are
+verified by their whole sets.  No limit on bits finds every similar pair, so what
+fingerprints miss is found by prefix filtering.
+
 Prefix filtering (Chaudhuri et al. 2006; Xiao et al. 2008): of sets in one global
 order, two with a similarity of at least t share one of the first
 n - ceil(t n) + 1 elements, and k of the first n - ceil(t n) + k.  So every such pair
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_batches, row_count, rows_at, shared_table, text_or_empty, with_row_place
-from .simhash_dedup import CELL_ROWS, connected, shingle_hashes
+from .simhash_dedup import CELL_ROWS, MAX_BITS, connected, links, majority, near_edges, shingle_hashes
 
 #: Bits of a set's parity map, the least power of two of so many an element and so many at least: sets differ in as
 #: many elements as their maps do in bits, or more.
@@ -101,9 +105,9 @@ def in_order(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 
 
 def prefixes(rows: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, row_file, row_at, key, n, parity, prefix`` of ``doc_id, text, row_file, row_at``.
+    """``doc_id, row_file, row_at, key, n, parity, w0, prefix`` of ``doc_id, text, row_file, row_at``.
 
-    Equal keys for equal sets, their size, parity map and first elements.
+    Equal keys for equal sets, their size, parity map, fingerprint and first elements.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +117,12 @@ def prefixes(rows: DataFrame, shingle: int, similarity: float, common: tuple[np.
                 pa.array([_key(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([parity_map(s) for s in sets], pa.binary()),
+                pa.array([majority(s) if len(s) else 0 for s in sets], pa.int64()),
                 pa.array([in_order(s, common)[: prefix_size(len(s), similarity)].tobytes() for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], ["doc_id", "row_file", "row_at", "key", "n", "parity", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], ["doc_id", "row_file", "row_at", "key", "n", "parity", "w0", "prefix"])
 
-    schema = "doc_id long, row_file string, row_at long, key binary, n int, parity binary, prefix binary"
+    schema = "doc_id long, row_file string, row_at long, key binary, n int, parity binary, w0 long, prefix binary"
     return map_batches(rows.select("doc_id", "text", "row_file", "row_at"), run, schema)
 
 
@@ -167,6 +172,18 @@ def _pairs(cells: DataFrame, similarity: float, steps: int | None) -> DataFrame:
     return found.groupBy("u", "v").agg(F.max("need").alias("need"), F.sum("times").alias("times")).where("times >= need").select("u", "v")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``u, v`` (u > v): sets of near fingerprints ``w0``, as many pairs as connect them all.
+
+    Of equal fingerprints the smallest node stands for the others, which pair with it.
+    """
+    prints = shared_table(nodes.groupBy("w0").agg(F.min("node").alias("first")), "fingerprints")
+    near = links(prints.select(F.col("w0").alias("node")), MAX_BITS, near_edges)
+    between = near.join(prints.toDF("u", "a"), "u").join(prints.toDF("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    equal = nodes.select("node", "w0").join(prints, "w0").where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return between.union(equal)
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``node, elements`` of the ``node, row_file, row_at`` of ``wanted``.
 
@@ -255,8 +272,8 @@ def _grouped(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``doc_id, row_file, row_at, key, root`` of ``doc_id, text, row_file, row_at``; a null id has no root.
 
     Distinct sets are the nodes, numbered once and for all in a written table.
-    Neighbours by size in a cell are verified first; pairs further apart follow in
-    rounds, the last of all that meet, each only where earlier links left them
+    Sets of near fingerprints and neighbours by size in a cell are verified first;
+    pairs further apart follow in rounds, the last of all that meet, each only where earlier links left them
     apart, so that large groups of near copies cost no square of their size in
     verification.
     """
@@ -285,9 +302,10 @@ def _grouped(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     met_rows = elements.groupBy("cell").agg(F.collect_list(F.struct("node", "n", "place")).alias("members")).where("size(members) > 1")
     cells = shared_table(met_rows.select("cell", F.ceil(F.size("members") / CELL_ROWS).alias("chunks"), F.explode("members").alias("m")).select("cell", "chunks", "m.*"), "cells")
     own = cells.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
-    nodes = shared_table(chosen.select("node", "row_file", "row_at", "n", "parity"), "sizes")
+    nodes = shared_table(chosen.select("node", "row_file", "row_at", "n", "parity", "w0"), "sizes")
     check = _Verifier(nodes, rows, shingle, similarity)
-    near = shared_table(check(_pairs(own.select("cell", F.col("chunk").alias("part"), "n", "place", "node", F.col("node").alias("grp")), similarity, ROUNDS[0])), "links")
+    beside = _pairs(own.select("cell", F.col("chunk").alias("part"), "n", "place", "node", F.col("node").alias("grp")), similarity, ROUNDS[0])
+    near = shared_table(check(_fingerprint_pairs(nodes).union(beside)), "links")
     roots = shared_table(connected(near), "roots")
     for steps in ROUNDS[1:]:
         # what those links left apart: every pair of chunks of every cell that holds more than one group

@@ -11,7 +11,7 @@ which makes the search grow with the rows rather than with their square.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,26 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x in list(root) if (r := find(x)) != x]
 
 
-def links(nodes: DataFrame, max_bits: int) -> DataFrame:
+def near_edges(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs, larger node first, that connect all that they connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((max(a, b), min(a, b)))
+    return out
+
+
+def links(nodes: DataFrame, max_bits: int, trees: Callable[[np.ndarray], list[tuple[int, int]]] = forest) -> DataFrame:
     """``u, v`` (u > v): trees that connect what the near pairs of fingerprints ``node`` connect."""
     cells = F.array(*(F.xxhash64(F.lit(t), F.col("node").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(exact_masks(max_bits))))
     rows = shared_table(with_pivots(nodes), "pivots").select("node", "pivots", F.explode(cells).alias("cell"))
@@ -158,8 +177,8 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
             flat = members.flatten()
             ids = flat.field("node").to_numpy(zero_copy_only=False)
             table = np.frombuffer(b"".join(flat.field("pivots").to_pylist()), np.uint8).reshape(-1, PIVOTS)
-            trees = forest(ids[near_rows(ids.view(np.uint64), table, np.diff(members.offsets.to_numpy()), max_bits)])
-            u, v = zip(*trees) if trees else ((), ())
+            found = trees(ids[near_rows(ids.view(np.uint64), table, np.diff(members.offsets.to_numpy()), max_bits)])
+            u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return map_batches(small.select("members").union(large.select("members")), run, "u long, v long").distinct()

@@ -376,6 +376,29 @@ def test_near_copies_of_one_family_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 16 * len(docs)
 
 
+def test_near_stage_verifies_sets_of_near_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+    import gleanery.llm.shingle_sets as S
+
+    rng = np.random.default_rng(23)
+    docs = []
+    for i in range(0, 40, 2):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        docs += [(i, " ".join(w)), (i + 1, " ".join([*w, "more"]))]
+    docs += [(40, "a b c d e f g h"), (41, "a b c d e f g h a b c d e f g x")]  # unlike sets, whatever their fingerprints
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {i: S.shingle_set(t.encode(), 5) for i, t in docs}
+    prints = {i: majority(s) for i, s in sets.items()}
+    found = {(r["u"], r["v"]) for r in rows(S._fingerprint_pairs(spark.createDataFrame(list(prints.items()), "node long, w0 long")))}
+    near = {(j, i) for i in prints for j in prints if i < j and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4}
+    assert found <= near and {j for j, _ in found} == {j for j, _ in near}
+    # without any cell of prefixes near fingerprints still link, and verified sets alone do
+    monkeypatch.setattr(S, "_pairs", lambda cells, *_: cells.where("false").select(F.col("node").alias("u"), F.col("node").alias("v")))
+    kept = Counter(r["doc_id"] for r in rows(corpus_pipeline.near_stage(spark, df, "")))
+    similar = {j for j, i in near if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert len(similar) > 10 and kept == Counter(i for i in sets if i not in similar)
+
+
 def test_parity_maps_never_differ_by_more_than_sets():
     from gleanery.llm.shingle_sets import maps_differ, parity_map
 
