@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -182,6 +184,30 @@ def viterbi(word: str, model, breaks: bool = False) -> str:
     return min(text(chain) for cost, chain in ends if cost == least)
 
 
+def one_double(form: str) -> int:
+    """Where the only doubled letter of a form of letters is; -1 where there is none, another or a longer run."""
+    if not form.isalpha() or not (found := DOUBLED.search(form)):
+        return -1
+    at, after = found.span()
+    return -1 if form[after : after + 1] == form[at] or DOUBLED.search(form, after) else at
+
+
+def undoubled(word: str, at: int, model) -> str:
+    """``viterbi`` of a word of letters whose only run is two at ``at``: after the next letter both readings go on alike."""
+    x, y, cost = 0, 0, 0.0
+    for char in word[:at]:
+        z = CHAR_CODES.get(char, 63)
+        cost += model[x][y][z]
+        x, y = y, z
+    z = CHAR_CODES.get(word[at], 63)
+    two, one = cost + model[x][y][z] + model[y][z][z], cost + DOUBLE + model[x][y][z]
+    if y != z:
+        after = CHAR_CODES.get(word[at + 2], 63) if at + 2 < len(word) else 0
+        two, one = two + model[z][z][after], one + model[y][z][after]
+    short = word[:at] + word[at + 1 :]
+    return short if one < two or one == two and y != z and at + 2 == len(word) else word
+
+
 def may_count(form: str, known: set[str]) -> bool:
     """Whether some reading of a form of letters has a feature of ``known``; true as well where there are too many readings to try."""
     begun = {""}
@@ -246,6 +272,8 @@ class Restorer:
         With ``known`` features and their ``starts`` forms are left undecoded of which
         no reading, however unlikely, can have a known feature.
         """
+        if token.isalpha() and not DOUBLED.search(token):
+            return [token]  # as below: nothing of it is stripped
         plain = token.strip(STRIP)
         edged = token.strip(EDGES)
         if edged == plain and plain.isalpha() and not DOUBLED.search(plain):
@@ -256,7 +284,10 @@ class Restorer:
         if core != plain and core.strip(STRIP).isalpha() and core.strip(STRIP) != plain:
             words.append(core.strip(STRIP))
         for form in dict.fromkeys((core, INNER.sub("", core), edged)):
-            if len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)) and (starts is None or may_begin(form, starts) and (not form.isalpha() or may_count(form, known))):
+            if (at := one_double(form)) >= 0 and len(form) > 2:  # decoded sooner than looked into
+                word = undoubled(form, at, self.model)
+                words += [w for w in (word,) if w not in words]
+            elif len(form) > 2 and (DISGUISED.search(form) or DOUBLED.search(form)) and (starts is None or may_begin(form, starts) and (not form.isalpha() or may_count(form, known))):
                 word = self.decoded(form)
                 # symbols left as they are at the ends are no part of the word
                 words += [w for w in dict.fromkeys((word, word.strip(STRIP)) if form != edged else (word.strip(STRIP),)) if w and w not in words]
@@ -434,22 +465,43 @@ class Scorer:
         self.lexicon, self.restorer = lexicon, Restorer(model)
         known = self.known = {f[:-1] for f in lexicon.weights}
         starts = {f[:3] for f in known}
-
-        def hits(token: str) -> tuple[str, ...]:
+        # features by number, and the places of their levels among all weights in order: -1 where there is none
+        self.names = sorted(lexicon.weights)
+        self.values = [lexicon.weights[f] for f in self.names]
+        self.sure = [lexicon.sure.get(f, 0.0) for f in self.names]
+        place = {f: i for i, f in enumerate(self.names)}
+        self.number = {f: i for i, f in enumerate(sorted(known))}
+        self.places = np.array([[place.get(f"{f}{n}", -1) for n in range(1, LEVELS + 1)] for f in self.number], np.int64).reshape(-1, LEVELS)
+
+        def hits(token: str) -> tuple[tuple[str, bytes], ...]:
             # a word without a known beginning of three letters has no known feature but itself
             words = self.restorer.readings(token, starts, known)
-            return tuple(w for w in words if (w + "$")[:3] in starts and (w + "$" in known or not known.isdisjoint(word_features(w))))
+            return tuple((w, f) for w in words if (w + "$")[:3] in starts and (f := self.features(w)))
+
+        self.cache = Memo(hits, WORD_BYTES, 260)
+        self.same: dict[bytes, bytes] = {}  # words share their features: a known beginning implies its known beginnings
+
+    def features(self, word: str) -> bytes:
+        """Numbers of a word's known features."""
+        number = self.number
+        found = [number[f] for f in word_features(word) if f in number]
+        packed = struct.pack(f"={len(found)}i", *found)
+        return self.same.setdefault(packed, packed)
 
-        self.cache = Memo(hits, WORD_BYTES, 180)
+    def found(self, words: dict[str, bytes]) -> list[int]:
+        """Places of the weights of a text's distinct words, in order."""
+        counts = np.bincount(np.frombuffer(b"".join(words.values()), np.int32))
+        numbers = np.flatnonzero(counts)
+        places = self.places[numbers]
+        return np.sort(places[(np.arange(LEVELS) < counts[numbers, None]) & (places >= 0)]).tolist()
 
     def score(self, text: str) -> float:
         text = text.lower()
-        words = set().union(*map(self.cache.__getitem__, set(text.split())))
-        words.update(self.restorer.spaced(text))
-        weights, z = self.lexicon.weights, self.lexicon.intercept
-        found = sorted(text_features(words) & weights.keys()) if words else ()
-        z += sum(weights[f] for f in found)
-        sure = max((self.lexicon.sure.get(f, 0.0) for f in found), default=0.0)
+        words = dict(chain.from_iterable(map(self.cache.__getitem__, set(text.split()))))
+        words.update((w, self.features(w)) for w in self.restorer.spaced(text))
+        found = self.found(words)
+        z = self.lexicon.intercept + sum(map(self.values.__getitem__, found))
+        sure = max(map(self.sure.__getitem__, found), default=0.0)
         return max(sure, 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips, SQL and held-out rows."""
 
 import hashlib
+import math
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -858,6 +859,19 @@ def test_viterbi_finds_the_best_of_all_readings():
             assert any(t == best for c, t in costs if c <= costs[0][0] + 1e-9), (word, best, costs[:3])
 
 
+def test_one_doubled_letter_is_read_as_viterbi_reads_it():
+    from gleanery.llm.toxicity import one_double, undoubled
+
+    rng = np.random.default_rng(24)
+    model = rng.exponential(2.0, (64, 64, 64)).astype(np.float32).tolist()
+    words = ["".join(rng.choice(list("abcéßжя"), int(rng.integers(1, 8)))) for _ in range(4000)]
+    assert one_double("abb") == 1 and [one_double(w) for w in ("ab", "abbb", "aabb", "bb1", "")] == [-1] * 5
+    some = [w for w in words if one_double(w) >= 0]
+    assert len(some) > 500 and {undoubled(w, one_double(w), model) == w for w in some} == {True, False}
+    for level in (model, np.ones((64, 64, 64)).tolist(), np.full((64, 64, 64), 3.0).tolist()):  # the last: ties
+        assert all(undoubled(w, one_double(w), level) == viterbi(w, level) for w in some)
+
+
 def test_forms_are_left_undecoded_only_where_no_reading_can_count():
     from itertools import product
 
@@ -876,6 +890,23 @@ def test_forms_are_left_undecoded_only_where_no_reading_can_count():
     assert may_count("stuupid", {"stupid$"}) and not may_count("stuupid", {"stupe", "pid", "stu$"}) and may_count("aabb" * 20, {"x"})
 
 
+def test_scores_equal_a_plain_sum_and_words_are_cut_once(trained, monkeypatch):
+    import gleanery.llm.toxicity as T
+
+    cut = []
+    monkeypatch.setattr(T, "word_features", lambda word, plain=T.word_features: cut.append(word) or plain(word))
+    lexicon, model = trained
+    scorer, restorer = Scorer(lexicon, model), T.Restorer(model)
+    some = sorted(f[:-2] for f in lexicon.weights if f[-2] == "$")
+    texts = ["", "plain words only, seen twice: plain words", " ".join(some), f"{some[0]} {some[0]}! {some[0].upper()}", " ".join(" ".join(w) for w in some[:5]), " ".join(w[:4] + "zzy" for w in some)]
+    for text in texts:
+        found = sorted(T.text_features(restorer.words(text)) & lexicon.weights.keys())
+        z = max(-30.0, min(30.0, lexicon.intercept + sum(lexicon.weights[f] for f in found)))
+        assert scorer.score(text) == max([1 / (1 + math.exp(-z)), *(lexicon.sure.get(f, 0.0) for f in found)])
+    cut.clear()
+    assert scorer.score(texts[2]) == scorer.score(texts[2]) and not cut  # known words aren't cut into features again
+
+
 def test_trigrams_equal_a_plain_count(spark):
     from gleanery.llm.toxicity import BYTE_CODES
 
