@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.errors import GleaneryError
 from gleanery.functions import text as T
+from gleanery.functions import vector as V
 from gleanery.operators import calibrate, chunking, encoders, evaluate, ivf, knn, ordered
 from gleanery.plans import pack as P
 from gleanery.sources import vectors as S
@@ -171,6 +172,16 @@ def test_dense_ids_and_even_samples(spark):
     assert sorted(r["id"] for r in once) == list(range(40)) and len({r["text"] for r in once}) == 40
 
 
+# codes
+def test_vector_expressions_read_their_input_once(spark):
+    """A random vector shows how often it is computed: once, not once for every component."""
+    same, pair = F.array_repeat(F.rand() * 200, 8), F.transform(F.array_repeat(F.rand(), 2), lambda x, i: x + i)
+    for pooled in (V.pooled(same, 8, 1), V.micro(same, 4, 2, 8), V.pooled_query(same, 8, 1)):
+        assert [r["n"] for r in rows(spark.range(20).select(F.size(F.array_distinct(pooled)).alias("n")))] == [1] * 20
+    assert {tuple(r["q"]) for r in rows(spark.range(20).select(V.quantize(pair).alias("q")))} == {(0, 255)}
+    assert all(r["s"] == pytest.approx(1 / 255) for r in rows(spark.range(20).select(V.quantization(pair)["scale"].alias("s"))))
+
+
 # sources
 def test_json_vectors(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "vector": [1, 0]}\n\n{"id": "y", "vector": [0, 1]}\n')
