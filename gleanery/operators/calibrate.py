@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .._ship import ship
 from ..functions import text as T
 
 FEATURES = ("d0", "margin", "mean10", "known_frac", "coverage")
@@ -19,6 +24,8 @@ HARD_AT_MOST, WEAK_BAND, WEAK_AT_MOST = 0.5, 0.08, 0.95
 EPOCHS, RATE, RIDGE, FOLDS = 4_000, 0.1, 1e-3, 5
 #: What a query of made-up words weighs in the fit.
 GIBBERISH_WEIGHT = 0.25
+#: Distinct words, and bytes read, after which a task sends its sums; rows of them that it sends at once.
+HELD_WORDS, HELD_BYTES, SUMS = 1 << 18, 32 << 20, 1 << 14
 
 
 class Sequence:
@@ -93,10 +100,43 @@ def coverage(words: DataFrame, passages: DataFrame, common: DataFrame) -> DataFr
     return total.join(best, "query_id", "left").select("query_id", (F.coalesce("g", F.lit(0.0)) / F.col("total")).alias("coverage"))
 
 
-def common_words(texts: DataFrame, documents: int) -> DataFrame:
-    """``w``: content words in over a twentieth of the texts (and over 4)."""
-    distinct = texts.select(F.explode(F.array_distinct(T.content_words(F.col("text")))).alias("w"))
-    return distinct.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > max(4, math.floor(documents * 0.05 + 0.5))).select("w")
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``term, n, texts`` of ``text``: how often each word stands, and in how many texts.
+
+    A task sends sums of many texts, a bounded number of words at a time.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile(rb"[a-z0-9']+").findall
+        held, held_texts, read = Counter(), Counter(), 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            terms = list(held)
+            for at in range(0, len(terms), SUMS):
+                some = terms[at : at + SUMS]
+                counts = [pa.array([of[t] for t in some], pa.int64()) for of in (held, held_texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()).cast(pa.string()), *counts], ["term", "n", "texts"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = words(text.as_py()) if text.is_valid else []
+                held.update(found)
+                held_texts.update(set(found))
+                read += sum(map(len, found))
+                if len(held) >= HELD_WORDS or read >= HELD_BYTES:
+                    yield from sums()
+                    held, held_texts, read = Counter(), Counter(), 0
+        yield from sums()
+
+    parts = texts.select(F.lower("text").cast("binary").alias("text")).mapInArrow(run, "term string, n long, texts long")
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+
+
+def common_words(counts: DataFrame, documents: int) -> DataFrame:
+    """``w`` of ``word_counts``: content words in over a twentieth of the texts (and over 4)."""
+    frequent = counts.where(F.col("texts") > max(4, math.floor(documents * 0.05 + 0.5)))
+    return frequent.where((F.length("term") >= T.COVERAGE_LENGTH) & ~F.col("term").isin(T.QUESTION_WORDS)).select(F.col("term").alias("w"))
 
 
 def student_verdict(logit: Column, n_feats: Column, pre_norm: Column, hard: float = 0.05, weak: float = 0.0, norm_floor: float = 0.4, least_features: int = 3) -> tuple[Column, Column]:

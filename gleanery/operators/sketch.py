@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._shared import small
 from ..errors import GleaneryError
 from ..functions import vector as V
 from .knn import knn_join
 
 
-def quantized(df: DataFrame) -> DataFrame:
-    """``id, q, scale, offset, sum_q, sum_q2`` of ``id, vector``: 8-bit rows."""
-    v = df.select("id", V.as_double(F.col("vector")).alias("v"))
-    coded = v.select("id", V.quantize(F.col("v")).alias("q"), V.quantization(F.col("v")).alias("s"))
+def quantized(df: DataFrame, unit: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, q, scale, offset, sum_q, sum_q2`` of ``id, vector``: 8-bit rows, of vectors made unit where asked, behind columns that are kept."""
+    v = V.as_double(F.col("vector"))
+    v = df.select("id", *keep, (V.l2_normalize(v) if unit else v).alias("v"))
+    coded = v.select("id", *keep, V.quantize(F.col("v")).alias("q"), V.quantization(F.col("v")).alias("s"))
     sums = [F.aggregate("q", F.lit(0).cast("long"), f).alias(n) for n, f in (("sum_q", lambda a, x: a + x), ("sum_q2", lambda a, x: a + x * x))]
-    return coded.select("id", "q", "s.scale", "s.offset", *sums)
+    return coded.select("id", *keep, "q", "s.scale", "s.offset", *sums)
 
 
 def sketches(coded: DataFrame, dims: int, width: int, bits: int = 8) -> DataFrame:
@@ -58,7 +60,7 @@ def rerank(queries: DataFrame, corpus: DataFrame, found: DataFrame, k: int | Non
     """Exact distances of candidate pairs, and the k best; with ``None`` every candidate comes back, ranked."""
     q, x = queries.select("query_id", V.as_double(F.col("vector")).alias("qv")), corpus.select("id", V.as_double(F.col("vector")).alias("v"))
     distance = V.l2_distance if metric == "l2" else V.cosine_distance
-    pairs = found.select("query_id", "id").distinct().join(x, "id").join(q, "query_id")
+    pairs = x.join(small(found.select("query_id", "id").distinct(), "pairs"), "id").join(q, "query_id")
     scored = pairs.select("query_id", "id", F.round(distance(F.col("qv"), F.col("v")), 9).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = scored.withColumn("rank", F.row_number().over(order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,11 +150,17 @@ def infer_dim(df: DataFrame, vector_col: str = "vector") -> int:
     return row[0]
 
 
+def _digest(df: DataFrame) -> tuple[str, int]:
+    """An order-free digest of a table's rows, and their number, in one pass."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    parts = [F.sum(F.conv(F.substring("row", i, 12), 16, 10).cast("decimal(38,0)")) for i in (1, 13, 25)]
+    found = df.select(row.alias("row")).agg(F.count("*"), *parts).first()
+    return hashlib.sha256("|".join(map(str, found)).encode()).hexdigest(), found[0]
+
+
 def digest(df: DataFrame) -> str:
     """An order-free digest of a table's rows."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    parts = [F.sum(F.conv(F.substring(row, i, 12), 16, 10).cast("decimal(38,0)")) for i in (1, 13, 25)]
-    return hashlib.sha256("|".join(map(str, df.agg(F.count("*"), *parts).first())).encode()).hexdigest()
+    return _digest(df)[0]
 
 
 def _manifest_file(path: str):
@@ -162,15 +168,21 @@ def _manifest_file(path: str):
     return filesystem, f"{root}/_manifest.json"
 
 
-def write_dataset(tables: dict[str, DataFrame], path: str, config: dict | None = None) -> str:
-    """Write tables and a canonical manifest; returns the manifest's identity."""
-    found = {}
-    for name, df in sorted(tables.items()):
+def write_dataset(tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], path: str, config: dict | None = None, linked: dict[str, dict] | None = None) -> str:
+    """Write tables and a canonical manifest; returns the manifest's identity.
+
+    A function makes its table of those that are written before it.  ``linked`` are
+    entries of another manifest, with their ``location``: tables that stay where they are.
+    """
+    found, written = dict(linked or {}), {}
+    for name, df in sorted(tables.items(), key=lambda t: (callable(t[1]), t[0])):
+        df = df(written) if callable(df) else df
         if "deleted" in df.columns and df.where("deleted").limit(1).count():
             raise GleaneryError("HAS_TOMBSTONES", f"{name} must be compacted before it is written")
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        written = df.sparkSession.read.parquet(f"{path}/{name}")
-        found[name] = {"digest": digest(written), "rows": written.count(), "schema": written.schema.simpleString()}
+        written[name] = df.sparkSession.read.parquet(f"{path}/{name}")
+        of, rows = _digest(written[name])
+        found[name] = {"digest": of, "rows": rows, "schema": written[name].schema.simpleString()}
     body = json.dumps({"config": config or {}, "tables": found, "version": 1}, sort_keys=True, separators=(",", ":"))
     filesystem, file = _manifest_file(path)
     with filesystem.open_output_stream(file) as out:
@@ -178,6 +190,11 @@ def write_dataset(tables: dict[str, DataFrame], path: str, config: dict | None =
     return hashlib.sha256(body.encode()).hexdigest()
 
 
+def entries(path: str) -> dict[str, dict]:
+    """The manifest's entries of a dataset's tables, with where each table lies."""
+    return {name: {"location": f"{path}/{name}"} | t for name, t in _manifest(path)[0]["tables"].items()}
+
+
 def _manifest(path: str) -> tuple[dict, str]:
     filesystem, file = _manifest_file(path)
     with filesystem.open_input_stream(file) as source:
@@ -198,7 +215,7 @@ def open_dataset(spark: SparkSession, path: str, identity: str | None = None, ex
     wrong = {k: manifest["config"].get(k) for k, v in (expect or {}).items() if manifest["config"].get(k) != v}
     if wrong:
         raise GleaneryError("CONFIG_MISMATCH", "the dataset was made with another configuration", **wrong)
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
+    tables = {name: spark.read.parquet(t.get("location", f"{path}/{name}")) for name, t in manifest["tables"].items()}
     for name, df in tables.items():
         if df.schema.simpleString() != manifest["tables"][name].get("schema", df.schema.simpleString()):
             raise GleaneryError("SCHEMA_MISMATCH", f"{name} has another schema than the manifest says")

@@ -1,5 +1,6 @@
 """Engine operators against brute force, hand-made cases and damaged inputs."""
 
+import hashlib
 import json
 import math
 import re
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from gleanery.errors import GleaneryError
 from gleanery.functions import text as T
 from gleanery.functions import vector as V
-from gleanery.operators import calibrate, chunking, encoders, evaluate, ivf, knn, ordered
+from gleanery.operators import calibrate, chunking, encoders, evaluate, ivf, knn, lexical, ordered
 from gleanery.plans import pack as P
 from gleanery.sources import vectors as S
 from gleanery.streaming import live as L
@@ -182,6 +183,42 @@ def test_vector_expressions_read_their_input_once(spark):
     assert all(r["s"] == pytest.approx(1 / 255) for r in rows(spark.range(20).select(V.quantization(pair)["scale"].alias("s"))))
 
 
+# lexical
+def brute_bm25(queries, docs, n):
+    words = lambda t: [w for w in re.findall("[a-z0-9']+", (t or "").lower()) if 2 <= len(w) <= 32]
+    texts = {}
+    for i, t in docs:
+        texts[i] = texts.get(i, []) + [w for w in words(t) if w not in T.STOP_WORDS]
+    df, mean = Counter(w for t in texts.values() for w in set(t)), max(1, sum(map(len, texts.values())) / len(texts))
+    out = {}
+    for q, t in queries:
+        asked, scores = set(words(t)), []
+        for i, own in texts.items():
+            tf = Counter(w for w in own if w in asked)
+            part = [math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, c in tf.items()]
+            scores += [(-round(sum(part), 6), i)] if tf else []
+        out[q] = [i for _, i in sorted(scores)[:n]]
+    return {q: ids for q, ids in out.items() if ids}
+
+
+def test_postings_are_lists_of_blocks_and_score_as_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    names = [f"w{i}" for i in range(60)] + ["the", "it's", "x", "Über", "y" * 33, "a1"]
+    docs = [(i, " ".join(rng.choice(names, rng.integers(1, 40)))) for i in range(300)] + [(900, None), (901, ""), (902, "w1 W2"), (902, "w1 the w3"), (-5, "w1 w1 K w2")]
+    queries = [(q, " ".join(rng.choice(names, 6))) for q in range(12)] + [(50, "the nothing"), (51, None), (52, "W1 w1 it's")]
+    d, q = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(queries, "query_id long, text string")
+    want = brute_bm25(queries, docs, 7)
+    assert found(lexical.bm25(q, d, 7)) == want
+    monkeypatch.setattr(lexical, "BLOCK_PAIRS", 500)
+    stored = lexical.tables(d)
+    lists, blocks = stored["postings"], stored["doc_stats"].select("block").distinct().count()
+    assert blocks > 3 and lists.count() == lists.select("term", "block").distinct().count() < lexical.occurrences(stored).count() / 3
+    assert rows(stored["corpus_stats"])[0]["n"] == 304 and stored["doc_stats"].where("id = 902").first()["dl"] == 4
+    assert found(lexical.bm25_stored(q, stored, 7)) == found(lexical.bm25(q, d, 7)) == want
+    monkeypatch.setattr(lexical, "SENT_TERMS", 3)
+    assert found(lexical.bm25_stored(q, stored, 7)) == found(lexical.bm25(q, d, 7)) == want
+
+
 # sources
 def test_json_vectors(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "vector": [1, 0]}\n\n{"id": "y", "vector": [0, 1]}\n')
@@ -380,6 +417,28 @@ def test_encoders_are_checked(spark):
             encoders.verify_encoder(encode, texts, wrong)
 
 
+def test_hash_sums_against_brute_force(spark):
+    texts = [(1, "One two\tTWO\u00a0three\x0b"), (2, None), (3, " \n"), (4, "a"), (4, "b a"), (5, "\u00c9t\u00e9 " * 50 + "z" * 500)]
+    cells = {}
+    for i, text in texts:
+        for w in re.split("[ \t\n\x0b\f\r]+", (text or "").lower()):
+            if w:
+                h = hashlib.sha256(w.encode()).digest()
+                b = int.from_bytes(h[:4], "little") % 16
+                cells[i, b] = cells.get((i, b), 0) + 2 * h[4] - 255
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    assert {(r["id"], r["b"]): r["s"] for r in rows(encoders.hash_cells(df, 16))} == cells
+    assert {r["id"]: r["vector"] for r in rows(encoders.hash_encoder(16)(df))} == {i: [float(cells.get((i, b), 0)) for b in range(16)] for i in (1, 4, 5)}
+
+
+def test_word_counts(spark, monkeypatch):
+    texts = ["the cat's cat", "The dog", None, "", "cat " * 9, "x" * 70]
+    want, held = Counter(w for t in texts for w in re.findall("[a-z0-9']+", (t or "").lower())), Counter(w for t in texts for w in set(re.findall("[a-z0-9']+", (t or "").lower())))
+    counts = calibrate.word_counts(spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(4))
+    assert {r["term"]: (r["n"], r["texts"]) for r in rows(counts)} == {w: (3 * n, 3 * held[w]) for w, n in want.items()}
+    assert {r["w"] for r in rows(calibrate.common_words(counts, 18))} == {"cat"}
+
+
 # calibration
 def test_small_generator_and_samples():
     draw = calibrate.Sequence(1)
@@ -567,3 +626,26 @@ def test_damaged_packs_are_seen(spark, library, tmp_path):
     bad = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0])], "id long, vector array<double>")
     with pytest.raises(GleaneryError):
         P.build(spark.createDataFrame([(0, "a"), (1, "b")], "id long, text string"), bad, f"file://{tmp_path}/x")
+
+
+def test_a_pack_encodes_once_and_takes_other_goldens_without_being_written_again(spark, tmp_path):
+    texts, base, read = [(i, f"text {i} of word{i}") for i in range(300)], encoders.hash_encoder(32), spark.sparkContext.accumulator(0)
+
+    def encode(df):
+        def counted(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return base(df.select("id", "text").mapInArrow(counted, "id long, text string"))
+
+    records = spark.createDataFrame(texts, "id long, text string")
+    path = f"file://{tmp_path}/pack"
+    pack = P.Pack(spark, path, P.build(records, encode(records), path, micro_dims=16))
+    assert read.value == 300
+    for goldens, verdict in (([("word7", 7, None)], "pass"), ([("word7", 8, None)], "fail"), ([], "no-tests")):
+        other = pack.with_goldens(spark.createDataFrame(goldens, "text string, expect_id long, expect_title string"), f"file://{tmp_path}/{verdict}")
+        assert other.verdict(base) == verdict and sorted(p.name for p in (tmp_path / verdict).iterdir()) == ["_manifest.json", "goldens"]
+        assert all(S.verify_dataset(spark, other.path).values()) and other.config == pack.config
+    again = other.with_goldens(pack.tables["goldens"], f"file://{tmp_path}/again")
+    assert S.entries(again.path)["records"]["location"] == f"{path}/records" and again.tables["records"].count() == 300
