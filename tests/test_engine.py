@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,20 @@ def found(df):
     return out
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_nearest_holds_little_whatever_ties(metric):
+    """Equal rows all reach the edge; they are cut before they pile up."""
+    near = knn.Nearest(np.arange(500), np.ones((500, 4)), 5, metric, self_hits=False)
+    tracemalloc.start()
+    near.add(np.arange(20_000)[::-1], np.ones((20_000, 4)))
+    near.add(np.arange(20_000, 20_100), np.ones((100, 4)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = near.table()
+    assert got["id"].reshape(500, 5).tolist() == [[j for j in range(6) if j != i][:5] for i in range(500)] and not got["distance"].any()
+    assert peak < 120e6
+
+
 def test_exact_join_by_sent_queries_and_by_blocks(cloud, monkeypatch):
     x, q, corpus, queries = cloud
     want = brute(q, x, 10)
