@@ -15,6 +15,7 @@ from gleanery.errors import GleaneryError
 from gleanery.functions import text as T
 from gleanery.functions import vector as V
 from gleanery.operators import calibrate, chunking, encoders, evaluate, ivf, knn, lexical, ordered
+from gleanery.plans import catalog_retrieval
 from gleanery.plans import pack as P
 from gleanery.sources import vectors as S
 from gleanery.streaming import live as L
@@ -664,3 +665,12 @@ def test_a_pack_encodes_once_and_takes_other_goldens_without_being_written_again
         assert all(S.verify_dataset(spark, other.path).values()) and other.config == pack.config
     again = other.with_goldens(pack.tables["goldens"], f"file://{tmp_path}/again")
     assert S.entries(again.path)["records"]["location"] == f"{path}/records" and again.tables["records"].count() == 300
+
+
+def test_a_pack_query_answers_from_the_tables_as_they_are(spark, sf_dir, tmp_path):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shown = []
+    for n in (120, 90):
+        documents.where(F.col("doc_id") < n).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        shown.append({r["name"]: r["rows"] for r in rows(catalog_retrieval.pack_info(spark, str(tmp_path)))}["records"])
+    assert shown == [120, 90]
