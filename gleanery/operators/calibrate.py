@@ -120,10 +120,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                found = words(text.as_py()) if text.is_valid else []
+                raw = text.as_py() or b""
+                found = words(raw)
                 held.update(found)
                 held_texts.update(set(found))
-                read += sum(map(len, found))
+                read += len(raw)
                 if len(held) >= HELD_WORDS or read >= HELD_BYTES:
                     yield from sums()
                     held, held_texts, read = Counter(), Counter(), 0
